@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordfold.functions.text import let
 from wordfold.operators.tokens import TokenOptions, clean_tokens
 
 # ---------------------------------------------------------------- plain tables
@@ -44,7 +45,9 @@ def word_array(text: str = "text") -> Column:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per word: ``(doc_id, label, feature)``."""
-    return documents(spark, sf_dir).select("doc_id", "label", F.explode(word_array()).alias("feature"))
+    return documents(spark, sf_dir).select("doc_id", "label", F.explode_outer(word_array()).alias("feature")).where(
+        "feature is not null"
+    )
 
 
 WORD_LISTS = (
@@ -115,9 +118,15 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line is a sentence, a run without blanks a token, neighbouring tokens are related."""
     lines = documents(spark, sf_dir).select("doc_id", "label", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
     split = F.filter(F.split("line", "[ \t]+"), lambda w: w != "")
-    tokens = lines.select("doc_id", "label", (F.col("sent_id") + 1).alias("sent_id"), F.transform(split, _annotated).alias("tokens"))
-    pairs = F.when(F.size("tokens") > 1, F.sequence(F.lit(0), F.size("tokens") - 2)).otherwise(F.array().cast("array<int>"))
-    return tokens.withColumn("edges", F.transform(pairs, lambda i: _edge(F.get("tokens", i), F.get("tokens", i + 1))))
+
+    def related(tokens: Column) -> Column:
+        pairs = F.when(F.size(tokens) > 1, F.sequence(F.lit(0), F.size(tokens) - 2)).otherwise(F.array().cast("array<int>"))
+        edges = F.transform(pairs, lambda i: _edge(F.get(tokens, i), F.get(tokens, i + 1)))
+        return F.struct(tokens.alias("tokens"), edges.alias("edges"))
+
+    return lines.select(
+        "doc_id", "label", (F.col("sent_id") + 1).alias("sent_id"), let(F.transform(split, _annotated), related).alias("s")
+    ).select("doc_id", "label", "sent_id", "s.tokens", "s.edges")
 
 
 def cleaned(spark: SparkSession, sf_dir: str, options: TokenOptions = TokenOptions()) -> DataFrame:
@@ -161,13 +170,13 @@ kept AS (SELECT doc_id, label, sent_id, idx, text, cpos AS pos, ner FROM marked
 EDGES = f"""{KEPT},
 pairs AS (
   SELECT *, lead(idx) OVER w AS idx2, lead(text) OVER w AS text2, lead(cpos) OVER w AS cpos2, lead(ner) OVER w AS ner2,
-    lead(keep) OVER w AS keep2, rel || lead(rel) OVER w AS both
+    lead(keep) OVER w AS keep2, rel || lead(rel) OVER w AS tagpair
   FROM marked WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY idx)),
 edges AS (
   SELECT doc_id, label, sent_id,
-    CASE both WHEN 'JN' THEN 'amod' WHEN 'NN' THEN 'nn' WHEN 'VN' THEN 'dobj' WHEN 'NV' THEN 'nsubj' ELSE 'dep' END AS type,
-    CASE WHEN both IN ('JN', 'NN', 'NV') THEN idx2 ELSE idx END AS head_idx,
-    CASE WHEN both IN ('JN', 'NN', 'NV') THEN idx ELSE idx2 END AS dep_idx
+    CASE tagpair WHEN 'JN' THEN 'amod' WHEN 'NN' THEN 'nn' WHEN 'VN' THEN 'dobj' WHEN 'NV' THEN 'nsubj' ELSE 'dep' END AS type,
+    CASE WHEN tagpair IN ('JN', 'NN', 'NV') THEN idx2 ELSE idx END AS head_idx,
+    CASE WHEN tagpair IN ('JN', 'NN', 'NV') THEN idx ELSE idx2 END AS dep_idx
   FROM pairs WHERE keep AND keep2)"""
 ARCS = f"""{EDGES},
 arcs AS (
@@ -199,19 +208,23 @@ feats AS (SELECT * FROM an UNION ALL SELECT * FROM nn UNION ALL SELECT * FROM vo
 
 def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the words directly left (``l:``) and right (``r:``) of each word, whole corpus."""
-    docs = documents(spark, sf_dir).select(word_array().alias("ws"))
-    last = F.size("ws") - 2
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    both = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.array(
-                F.struct(F.get("ws", i).alias("feature"), F.concat(F.lit("r:"), F.get("ws", i + 1)).alias("ctx")),
-                F.struct(F.get("ws", i + 1).alias("feature"), F.concat(F.lit("l:"), F.get("ws", i)).alias("ctx")),
-            ),
+
+    def neighbours(ws: Column) -> Column:
+        last = F.size(ws) - 2
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        pair = lambda f, c: F.struct(f.alias("feature"), c.alias("ctx"))
+        return F.flatten(
+            F.transform(
+                starts,
+                lambda i: F.array(
+                    pair(F.get(ws, i), F.concat(F.lit("r:"), F.get(ws, i + 1))),
+                    pair(F.get(ws, i + 1), F.concat(F.lit("l:"), F.get(ws, i))),
+                ),
+            )
         )
-    )
-    return docs.select(F.inline(both)).groupBy("feature", "ctx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+    pairs = documents(spark, sf_dir).select(F.inline_outer(let(word_array(), neighbours))).where("feature is not null")
+    return pairs.groupBy("feature", "ctx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 VECTORS = f"""{WORD_LISTS},

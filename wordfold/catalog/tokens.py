@@ -145,9 +145,26 @@ grams AS (
   UNION ALL SELECT doc_id, '3-GRAM', a || '_' || b || '_' || c FROM runs WHERE c IS NOT NULL)"""
 
 
-@query("ngrams", with_ctes(_NGRAMS, select="SELECT feature, ftype, count(*) AS n FROM grams GROUP BY ALL"))
+@query(
+    "ngrams",
+    with_ctes(
+        _NGRAMS,
+        select="""SELECT doc_id, ftype, count(*) AS n, count(DISTINCT feature) AS features, min(feature) AS first_feature,
+  max(feature) AS last_feature, sum(length(feature))::BIGINT AS chars FROM grams GROUP BY ALL""",
+    ),
+)
 def ngrams(spark, d):
-    return _counted(ft.ngrams(i.cleaned(spark, d), 3), "feature", "ftype")
+    return (
+        ft.ngrams(i.cleaned(spark, d), 3)
+        .groupBy("doc_id", "ftype")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("feature").alias("features"),
+            F.min("feature").alias("first_feature"),
+            F.max("feature").alias("last_feature"),
+            F.sum(F.char_length("feature")).alias("chars"),
+        )
+    )
 
 
 _EXTRACT = with_ctes(i.PHRASES, select="SELECT doc_id, label, feature, count(*) AS n FROM feats GROUP BY ALL")
@@ -184,8 +201,8 @@ def drop_invalid_features(spark, d):
 @query(
     "parse_feature",
     with_ctes(
-        _NGRAMS,
-        "typed AS (SELECT feature, list_transform(string_split(feature, '_'), lambda t: regexp_extract(t, '/(.*)$', 1)) AS tags FROM grams)",
+        i.PHRASES,
+        "typed AS (SELECT feature, list_transform(string_split(feature, '_'), lambda t: regexp_extract(t, '/(.*)$', 1)) AS tags FROM feats)",
         select="""SELECT feature, array_to_string(tags, ' ') AS tags,
   CASE array_to_string(tags, ' ') WHEN 'J N' THEN 'AN' WHEN 'N N' THEN 'NN' WHEN 'V N' THEN 'VO' WHEN 'N V N' THEN 'SVO'
     ELSE len(tags)::VARCHAR || '-GRAM' END AS ftype, count(*) AS n
@@ -193,8 +210,8 @@ FROM typed GROUP BY ALL""",
     ),
 )
 def parse_feature(spark, d):
-    grams = ft.ngrams(i.cleaned(spark, d), 3).select("feature")
-    typed = ft.with_type(_counted(grams, "feature"))
+    found = ft.extract_features(i.cleaned(spark, d)).select("feature")
+    typed = ft.with_type(_counted(found, "feature"))
     tags = F.array_join(F.transform("tokens", lambda t: t["pos"]), " ")
     return typed.select("feature", tags.alias("tags"), "ftype", "n")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.functions import grammar as g
-from wordfold.functions.text import ENTITY_TAGS
+from wordfold.functions.text import ENTITY_TAGS, let
 
 PHRASES = ("AN", "NN", "VO", "SVO")
 
@@ -64,43 +64,44 @@ def subj_verb_obj_array(
     subject_relations: Iterable[str] = ("nsubj",), object_relations: Iterable[str] = ("dobj",)
 ) -> Column:
     """Every subject with every object of the same verb."""
-    objects = _arcs(object_relations, "V", "N")
-    return F.flatten(
-        F.transform(
-            _arcs(subject_relations, "V", "N"),
-            lambda s: F.transform(
-                F.filter(objects, lambda o: o["head"]["idx"] == s["head"]["idx"]),
-                lambda o: _feature("SVO", s["dep"], s["head"], o["dep"]),
-            ),
-        )
+    return let(
+        _arcs(object_relations, "V", "N"),
+        lambda objects: F.flatten(
+            F.transform(
+                _arcs(subject_relations, "V", "N"),
+                lambda s: F.transform(
+                    F.filter(objects, lambda o: o["head"]["idx"] == s["head"]["idx"]),
+                    lambda o: _feature("SVO", s["dep"], s["head"], o["dep"]),
+                ),
+            )
+        ),
     )
 
 
 def ngram_array(n_max: int) -> Column:
     """Contiguous runs of 2..n surviving tokens of a sentence, in token order."""
-    ordered = F.array_sort("tokens")
 
-    def runs(n: int) -> Column:
-        starts = F.when(
-            F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
+    def runs(ordered: Column, n: int) -> Column:
+        starts = F.when(F.size(ordered) >= n, F.sequence(F.lit(1), F.size(ordered) - (n - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
         return F.transform(
             starts,
             lambda i: F.struct(
-                F.lit(f"{n}-GRAM").alias("ftype"),
-                F.transform(F.slice("__ordered", i, n), _plain).alias("tokens"),
+                F.lit(f"{n}-GRAM").alias("ftype"), F.transform(F.slice(ordered, i, n), _plain).alias("tokens")
             ),
         )
 
-    return F.concat(*[runs(n) for n in range(2, n_max + 1)])
+    return let(
+        F.array_sort("tokens"), lambda ordered: F.concat(*[runs(ordered, n) for n in range(2, n_max + 1)])
+    )
 
 
 def _emit(cleaned: DataFrame, arrays: list[Column], separator: str, drop_ner: Column | None = None) -> DataFrame:
     keep = [c for c in cleaned.columns if c not in ("tokens", "arcs")]
-    # token order of the source is token order of the sentence, but it is not promised
-    base = cleaned.withColumn("__ordered", F.array_sort("tokens"))
     found = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    rows = base.select(*keep, F.inline(found))
+    # the outer form keeps the optimiser from testing the array, i.e. building it twice
+    rows = cleaned.select(*keep, F.inline_outer(found)).where("ftype is not null")
     if drop_ner is not None:
         rows = rows.where(~drop_ner)
     return rows.withColumn("feature", g.format_feature(F.col("tokens"), separator)).select(

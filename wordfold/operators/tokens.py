@@ -107,37 +107,40 @@ def clean_tokens(sentences: DataFrame, options: TokenOptions = TokenOptions()) -
     Adds ``tokens ARRAY<STRUCT<idx, text, pos, ner>>`` and
     ``arcs ARRAY<STRUCT<type, head STRUCT, dep STRUCT>>``.
     """
-    slots = sentences.withColumn("__slots", F.transform("tokens", lambda t: _prepared(t, options)))
-    arcs = F.transform(
-        last_edge_per_pair(F.col("edges")),
-        lambda e: F.struct(
-            e["type"].alias("type"),
-            token_at(F.col("__slots"), e["head"]).alias("head"),
-            token_at(F.col("__slots"), e["dep"]).alias("dep"),
-        ),
-    )
-    return slots.withColumn(
-        "arcs", F.filter(arcs, lambda a: F.coalesce(a["head"]["keep"] & a["dep"]["keep"], F.lit(False)))
-    ).withColumn(
-        "tokens",
-        F.transform(
-            F.filter("__slots", lambda t: t["keep"]),
+
+    def both(slots: Column) -> Column:
+        kept = F.transform(
+            F.filter(slots, lambda t: t["keep"]),
             lambda t: F.struct(
                 t["idx"].alias("idx"), t["text"].alias("text"), t["pos"].alias("pos"), t["ner"].alias("ner")
             ),
-        ),
-    ).drop("__slots", "edges")
+        )
+        arcs = F.transform(
+            last_edge_per_pair(F.col("edges")),
+            lambda e: F.struct(
+                e["type"].alias("type"), token_at(slots, e["head"]).alias("head"), token_at(slots, e["dep"]).alias("dep")
+            ),
+        )
+        alive = F.filter(arcs, lambda a: F.coalesce(a["head"]["keep"] & a["dep"]["keep"], F.lit(False)))
+        return F.struct(kept.alias("tokens"), alive.alias("arcs"))
+
+    # one expression bound to the prepared tokens: however the optimiser moves it, a token
+    # is prepared once per sentence and not once per edge
+    keep = [c for c in sentences.columns if c not in ("tokens", "edges")]
+    prepared = F.transform("tokens", lambda t: _prepared(t, options))
+    return sentences.select(*keep, let(prepared, both).alias("__c")).select(*keep, "__c.tokens", "__c.arcs")
 
 
 def explode_tokens(sentences: DataFrame) -> DataFrame:
     """One row per token, for work that needs no neighbours."""
     keep = [c for c in sentences.columns if c not in ("tokens", "edges", "arcs")]
-    return sentences.select(*keep, F.explode("tokens").alias("t")).select(*keep, "t.*")
+    return sentences.select(*keep, F.explode_outer("tokens").alias("t")).where("t is not null").select(*keep, "t.*")
 
 
 def surviving_edges(cleaned: DataFrame) -> DataFrame:
     """One row per edge whose two tokens survived."""
     keep = [c for c in cleaned.columns if c not in ("tokens", "arcs")]
-    return cleaned.select(*keep, F.explode("arcs").alias("a")).select(
+    # the outer form keeps the optimiser from testing the array, i.e. building it twice
+    return cleaned.select(*keep, F.explode_outer("arcs").alias("a")).where("a is not null").select(
         *keep, F.col("a.head.idx").alias("head_idx"), F.col("a.dep.idx").alias("dep_idx"), F.col("a.type").alias("type")
     )
