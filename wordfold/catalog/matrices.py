@@ -1 +1,401 @@
-"""Placeholder."""
+"""Vocabularies, document-feature matrices, replacement, selection and their statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wordfold.catalog import inputs as i
+from wordfold.catalog.registry import query, with_ctes
+from wordfold.operators import select as sel, splits, stats, vectorize as vz
+from wordfold.sources import sinks
+
+K = 3
+FOLDS = f"{i.DOCS},\nfolds AS (SELECT doc_id, label, ntile(5) OVER (PARTITION BY label ORDER BY doc_id) - 1 AS fold FROM docs)"
+# the first of five stratified folds is the test part; the vocabulary has words of two or more training documents
+SPLIT = f"""{i.DTM},
+{FOLDS},
+train AS (SELECT d.* FROM dtm d JOIN folds f ON d.doc_id = f.doc_id WHERE fold <> 0),
+test AS (SELECT d.* FROM dtm d JOIN folds f ON d.doc_id = f.doc_id WHERE fold = 0),
+vocab AS (SELECT feature, count(*) AS df FROM train GROUP BY feature HAVING count(*) >= 2)"""
+# a precomputed thesaurus: what follows a word, with its share
+THESAURUS = f"""{i.WORD_LISTS},
+word_places AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM word_lists),
+word_pairs AS (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM word_places),
+follow AS (SELECT w AS feature, w2 AS neighbour, count(*) AS n FROM word_pairs WHERE w2 IS NOT NULL GROUP BY ALL),
+thesaurus AS (SELECT feature, neighbour, n / sum(n) OVER (PARTITION BY feature) AS sim FROM follow)"""
+# both CTE lists start with the word lists
+BOTH = f"{THESAURUS},\n" + SPLIT.split(",\n", 1)[1]
+REPLACE = f"""{BOTH},
+usable AS (SELECT t.* FROM thesaurus t JOIN vocab v ON t.neighbour = v.feature),
+best AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY feature ORDER BY sim DESC, neighbour) <= {K}),
+entries AS (SELECT DISTINCT feature FROM thesaurus),
+flags AS (
+  SELECT t.*, v.feature IS NOT NULL AS iv, e.feature IS NOT NULL AS it
+  FROM test t LEFT JOIN vocab v ON t.feature = v.feature LEFT JOIN entries e ON t.feature = e.feature)"""
+
+
+def dtm(spark, d):
+    return vz.doc_term_counts(i.words(spark, d))
+
+
+def thesaurus(spark, d, side: str = "r:"):
+    follow = i.context_vectors(spark, d).where(F.col("ctx").startswith(side))
+    total = follow.groupBy("feature").agg(F.sum("weight").alias("t"))
+    return follow.join(total, "feature").select(
+        "feature", F.substring("ctx", 3, 1 << 20).alias("neighbour"), (F.col("weight") / F.col("t")).alias("sim")
+    )
+
+
+def parts(spark, d):
+    """(train, test, train docs, test docs) of the first of five stratified folds."""
+    folds = splits.first_fold_only(splits.stratified_kfold(i.doc_labels(spark, d), 5))
+    rows = dtm(spark, d)
+    docs = {r: folds.where(F.col("role") == r).select("doc_id", "label") for r in ("train", "test")}
+    return *[rows.join(docs[r].select("doc_id"), "doc_id", "left_semi") for r in ("train", "test")], docs["train"], docs["test"]
+
+
+def train_vocab(train):
+    return vz.limit_df(vz.build_vocab(train), min_df=2)
+
+
+def _rounded(df):
+    return df.select("doc_id", "feature", F.round("weight", 6).alias("weight"))
+
+
+@query("doc_term_counts", with_ctes(i.DTM, select="SELECT * FROM dtm"))
+def doc_term_counts(spark, d):
+    return dtm(spark, d)
+
+
+@query(
+    "build_vocab",
+    with_ctes(
+        i.PHRASES,
+        "v AS (SELECT feature, count(DISTINCT doc_id) AS df FROM feats GROUP BY feature)",
+        select="""SELECT feature, df, row_number() OVER (ORDER BY len(string_split(feature, '_')), feature) - 1 AS idx FROM v""",
+    ),
+)
+def build_vocab(spark, d):
+    from wordfold.catalog.tokens import phrase_counts
+
+    return vz.index_vocab(vz.build_vocab(phrase_counts(spark, d)))
+
+
+@query(
+    "limit_df",
+    with_ctes(
+        i.DTM,
+        "v AS (SELECT feature, count(*) AS df FROM dtm GROUP BY feature)",
+        select="SELECT * FROM v WHERE df BETWEEN 2 AND round_even(0.3 * (SELECT count(*) FROM documents), 0)",
+    ),
+)
+def limit_df(spark, d):
+    return vz.limit_df(vz.build_vocab(dtm(spark, d)), 2, 0.3, i.doc_labels(spark, d))
+
+
+@query(
+    "dropped_features",
+    with_ctes(i.DTM, select="SELECT feature, count(*) AS df FROM dtm GROUP BY feature HAVING count(*) < 2 OR count(*) > 500"),
+)
+def dropped_features(spark, d):
+    vocab = vz.build_vocab(dtm(spark, d))
+    return vz.dropped_features(vocab, vz.limit_df(vocab, 2, 500))
+
+
+@query(
+    "reindex_vocab",
+    with_ctes(
+        i.DTM,
+        "v AS (SELECT feature, count(*) AS df, row_number() OVER (ORDER BY feature) - 1 AS old FROM dtm GROUP BY feature)",
+        select="SELECT feature, df, row_number() OVER (ORDER BY old) - 1 AS idx FROM v WHERE df > 1",
+    ),
+)
+def reindex_vocab(spark, d):
+    return vz.reindex_vocab(vz.index_vocab(vz.build_vocab(dtm(spark, d))), F.col("df") > 1)
+
+
+@query("mark_iv_it", with_ctes(REPLACE, select="SELECT doc_id, iv, it, count(*) AS n, sum(weight) AS weight FROM flags GROUP BY ALL"))
+def mark_iv_it(spark, d):
+    train, test, _, _ = parts(spark, d)
+    marked = vz.mark_iv_it(test, train_vocab(train), thesaurus(spark, d))
+    return marked.groupBy("doc_id", "iv", "it").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("base", with_ctes(SPLIT, select="SELECT t.doc_id, t.feature, t.weight FROM test t JOIN vocab v ON t.feature = v.feature"))
+def base(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return vz.apply_handler(test, train_vocab(train), "base").select("doc_id", "feature", "weight")
+
+
+def _handled(kept: str, looked_up: str, sim: str = "sim") -> str:
+    parts_sql = []
+    if kept:
+        parts_sql.append(f"SELECT doc_id, feature, weight FROM flags WHERE {kept}")
+    parts_sql.append(
+        f"SELECT f.doc_id, b.neighbour AS feature, f.weight * {sim} AS weight FROM flags f JOIN best b ON f.feature = b.feature WHERE {looked_up}"
+    )
+    union = " UNION ALL ".join(parts_sql)
+    return with_ctes(REPLACE, select=f"SELECT doc_id, feature, round(sum(weight), 6) AS weight FROM ({union}) GROUP BY ALL")
+
+
+@query("signifier_signified", _handled("iv", "NOT iv AND it"))
+def signifier_signified(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return _rounded(vz.apply_handler(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K))
+
+
+@query("signified_only", _handled("", "it"))
+def signified_only(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return _rounded(vz.apply_handler(test, train_vocab(train), "signified_only", thesaurus(spark, d), k=K))
+
+
+@query("sim_fn", _handled("iv", "NOT iv AND it", "1.0::DOUBLE"))
+def sim_fn(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return _rounded(vz.apply_handler(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, sim_fn=vz.one))
+
+
+@query(
+    "sim_fn_custom",
+    with_ctes(
+        REPLACE,
+        select=f"""SELECT f.doc_id, b.neighbour AS feature, round(sum(f.weight * sqrt(b.sim)), 6) AS weight
+FROM flags f JOIN best b ON f.feature = b.feature WHERE NOT iv GROUP BY ALL""",
+    ),
+)
+def sim_fn_custom(spark, d):
+    train, test, _, _ = parts(spark, d)
+    rules = {(True, True): vz.IGNORE, (True, False): vz.IGNORE, (False, True): vz.EXPAND, (False, False): vz.IGNORE}
+    return _rounded(vz.apply_handler(test, train_vocab(train), rules, thesaurus(spark, d), k=K, sim_fn=F.sqrt))
+
+
+@query("signified_random")
+def signified_random(spark, d):
+    train, test, _, _ = parts(spark, d)
+    drawn = vz.handle_random(test.select("doc_id", "feature", "weight"), train_vocab(train), K, 1, thesaurus(spark, d))
+    return drawn.groupBy("doc_id").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("features"))
+
+
+@query(
+    "expand",
+    with_ctes(
+        REPLACE,
+        select="""SELECT t.doc_id, b.neighbour AS feature, round(sum(t.weight * b.sim), 6) AS weight
+FROM test t JOIN best b ON t.feature = b.feature GROUP BY ALL""",
+    ),
+)
+def expand(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return _rounded(vz.merge_duplicates(vz.expand(test, thesaurus(spark, d), train_vocab(train), K)))
+
+
+@query(
+    "merge_duplicates",
+    with_ctes(
+        i.DTM,
+        select="SELECT doc_id, label, substr(feature, 1, 3) AS feature, sum(weight) AS weight FROM dtm GROUP BY ALL",
+    ),
+)
+def merge_duplicates(spark, d):
+    return vz.merge_duplicates(dtm(spark, d).withColumn("feature", F.substring("feature", 1, 3)))
+
+
+@query("transform_test", _handled("iv", "NOT iv AND it"))
+def transform_test(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return _rounded(vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K))
+
+
+# clusters of words: by their length and first letter
+_CLUSTERS = "clusters AS (SELECT DISTINCT feature, (length(feature) * 31 + ascii(feature)) % 50 AS cluster FROM vocab WHERE df > 2)"
+
+
+@query(
+    "cluster_vectorize",
+    with_ctes(
+        SPLIT,
+        _CLUSTERS,
+        "named AS (SELECT feature, 'cluster' || cluster AS c FROM clusters)",
+        "seen AS (SELECT DISTINCT c FROM train t JOIN named n ON t.feature = n.feature)",
+        select="""SELECT t.doc_id, t.label, n.c AS feature, sum(t.weight) AS weight
+FROM test t JOIN named n ON t.feature = n.feature JOIN seen s ON n.c = s.c GROUP BY ALL""",
+    ),
+)
+def cluster_vectorize(spark, d):
+    train, test, _, _ = parts(spark, d)
+    vocab = train_vocab(train).where("df > 2")
+    number = ((F.char_length("feature") * 31 + F.ascii("feature")) % 50).alias("cluster")
+    clusters = vocab.select("feature", number)
+    seen = vz.build_vocab(vz.cluster_vectorize(train, clusters))
+    return vz.cluster_vectorize(test, clusters, seen)
+
+
+@query(
+    "dump_dtm",
+    with_ctes(
+        REPLACE,
+        "applied AS (SELECT doc_id, feature, weight FROM flags WHERE iv UNION ALL "
+        "SELECT f.doc_id, b.neighbour, f.weight * b.sim FROM flags f JOIN best b ON f.feature = b.feature WHERE NOT iv AND it)",
+        "m AS (SELECT doc_id, feature, sum(weight) AS weight FROM applied GROUP BY ALL)",
+        select="""SELECT f.doc_id AS id, '' AS target, round(coalesce(sum(m.weight), 0), 6) AS total_feat_weight,
+  count(m.feature) AS nonzero_feats, round(coalesce(sum(m.weight) FILTER (m.feature = 'the'), 0), 2) AS "the",
+  round(coalesce(sum(m.weight) FILTER (m.feature = 'de'), 0), 2) AS "de"
+FROM folds f LEFT JOIN m ON f.doc_id = m.doc_id WHERE f.fold = 0 GROUP BY f.doc_id""",
+    ),
+)
+def dump_dtm(spark, d):
+    train, test, _, test_docs = parts(spark, d)
+    matrix = vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, check=False)
+    rows = sinks.dump_long(matrix, test_docs).withColumn("target", F.lit(""))
+    at = lambda f: F.round(F.coalesce(F.try_element_at("weights", F.lit(f)), F.lit(0.0)), 2).alias(f)
+    return rows.select("id", "target", F.round("total_feat_weight", 6).alias("total_feat_weight"), "nonzero_feats", at("the"), at("de"))
+
+
+# ---------------------------------------------------------------- selection
+
+
+@query("keep_in_model", with_ctes(BOTH, select="SELECT * FROM vocab WHERE feature IN (SELECT feature FROM thesaurus)"))
+def keep_in_model(spark, d):
+    return sel.keep_in_model(train_vocab(parts(spark, d)[0]), thesaurus(spark, d))
+
+
+CHI2 = f"""{i.DTM},
+{i.DOCS},
+share AS (SELECT label, count(*) / (SELECT count(*) FROM docs) AS p FROM docs GROUP BY label),
+totals AS (SELECT feature, sum(weight) AS t FROM dtm GROUP BY feature),
+seen AS (SELECT feature, label, sum(weight) AS o FROM dtm GROUP BY ALL),
+chi2 AS (
+  SELECT t.feature, sum(power(coalesce(o, 0) - p * t, 2) / (p * t)) AS score
+  FROM totals t CROSS JOIN share s LEFT JOIN seen USING (feature, label) GROUP BY t.feature)"""
+
+
+@query("chi2_scores", with_ctes(CHI2, select="SELECT feature, round(score, 5) AS score FROM chi2"))
+def chi2_scores(spark, d):
+    scores = sel.chi2_scores(dtm(spark, d), i.doc_labels(spark, d))
+    return scores.select("feature", F.round("score", 5).alias("score"))
+
+
+@query(
+    "select_k_best",
+    with_ctes(CHI2, select="SELECT feature, round(score, 5) AS score FROM chi2 ORDER BY round(score, 9) DESC, feature LIMIT 500"),
+)
+def select_k_best(spark, d):
+    best = sel.select_k_best(sel.chi2_scores(dtm(spark, d), i.doc_labels(spark, d)), 500)
+    return best.select("feature", F.round("score", 5).alias("score"))
+
+
+ODDS = f"""{i.QDTM},
+odds_counts AS (SELECT feature, count(*) AS n, count(*) FILTER (label = '0') AS n0 FROM qdtm GROUP BY feature),
+odds AS (SELECT feature, (n0 + 1e-6) / (n + 2e-6) AS p FROM odds_counts)"""
+
+
+@query("log_odds", with_ctes(ODDS, select="SELECT feature, round(ln(p) - ln(1 - p), 6) AS score FROM odds WHERE abs(ln(p) - ln(1 - p)) > 0.5"))
+def log_odds(spark, d):
+    docs = i.quality_docs(spark, d)
+    scores = sel.log_odds(dtm(spark, d).drop("label"), docs)
+    return sel.filter_log_odds(scores, 0.5).select("feature", F.round("score", 6).alias("score"))
+
+
+@query(
+    "select_features",
+    with_ctes(
+        f"{BOTH},\n{i.QDOCS},\nqdtm AS (SELECT d.doc_id, q.label, d.feature, d.weight FROM dtm d JOIN qdocs q ON d.doc_id = q.doc_id)",
+        "share AS (SELECT label, count(*) / (SELECT count(*) FROM qdocs) AS p FROM qdocs GROUP BY label)",
+        "totals AS (SELECT feature, sum(weight) AS t FROM qdtm GROUP BY feature)",
+        "seen AS (SELECT feature, label, sum(weight) AS o FROM qdtm GROUP BY ALL)",
+        """chi2 AS (SELECT t.feature, sum(power(coalesce(o, 0) - p * t, 2) / (p * t)) AS score
+  FROM totals t CROSS JOIN share s LEFT JOIN seen USING (feature, label) GROUP BY t.feature)""",
+        "top AS (SELECT feature FROM chi2 ORDER BY round(score, 9) DESC, feature LIMIT 2000)",
+        "odds AS (SELECT feature, (count(*) FILTER (label = '0') + 1e-6) / (count(*) + 2e-6) AS p FROM qdtm GROUP BY feature)",
+        "strong AS (SELECT feature FROM odds WHERE abs(ln(p) - ln(1 - p)) > 0.1)",
+        "kept AS (SELECT feature, count(*) AS df FROM qdtm WHERE feature IN (FROM top) AND feature IN (FROM strong) "
+        "AND feature IN (SELECT feature FROM thesaurus) GROUP BY feature)",
+        select="SELECT feature, df, row_number() OVER (ORDER BY feature) - 1 AS idx FROM kept",
+    ),
+)
+def select_features(spark, d):
+    docs = i.quality_docs(spark, d)
+    rows = sel.labelled(dtm(spark, d).drop("label"), docs)
+    vocab = vz.index_vocab(vz.build_vocab(rows))
+    return sel.select_features(vocab, rows, docs, 2000, thesaurus(spark, d), True, 0.1)
+
+
+@query(
+    "keep_docs_min_weight",
+    with_ctes(i.DTM, i.DOCS, select="SELECT doc_id, label FROM docs WHERE doc_id IN (SELECT doc_id FROM dtm GROUP BY doc_id HAVING sum(weight) >= 100)"),
+)
+def keep_docs_min_weight(spark, d):
+    return sel.keep_docs_min_weight(i.doc_labels(spark, d), dtm(spark, d), 100)
+
+
+@query(
+    "drop_empty_features",
+    with_ctes(
+        SPLIT,
+        "heavy AS (SELECT doc_id FROM train GROUP BY doc_id HAVING sum(weight) >= 500)",
+        select="SELECT * FROM vocab WHERE feature IN (SELECT feature FROM train WHERE doc_id IN (FROM heavy))",
+    ),
+)
+def drop_empty_features(spark, d):
+    train, _, train_docs, _ = parts(spark, d)
+    kept = sel.keep_docs_min_weight(train_docs, train, 500)
+    return sel.drop_empty_features(train_vocab(train), train.join(kept.select("doc_id"), "doc_id", "left_semi"))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query(
+    "coverage_counts",
+    with_ctes(
+        REPLACE,
+        select="""SELECT 0 AS cv_fold, 'ev' AS stage, feature, iv::INT AS "IV", it::INT AS "IT", sum(weight)::BIGINT AS "count"
+FROM flags GROUP BY ALL""",
+    ),
+)
+def coverage_counts(spark, d):
+    train, test, _, _ = parts(spark, d)
+    return stats.coverage_counts(vz.mark_iv_it(test, train_vocab(train), thesaurus(spark, d)), "ev")
+
+
+@query(
+    "replacement_counts",
+    with_ctes(
+        REPLACE,
+        "looked AS (SELECT feature, sum(weight)::BIGINT AS n FROM flags WHERE NOT iv AND it GROUP BY feature)",
+        "avail AS (SELECT feature, count(*) AS a FROM usable GROUP BY feature)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY sim DESC, neighbour) AS r FROM best)",
+        select="""SELECT 0 AS cv_fold, 'ev' AS stage, l.feature, coalesce(a, 0)::INT AS available_replacements,
+  coalesce(max(neighbour) FILTER (r = 1), '') AS neigh1, round(max(sim) FILTER (r = 1), 6) AS neigh1_sim,
+  coalesce(max(neighbour) FILTER (r = 2), '') AS neigh2, round(max(sim) FILTER (r = 2), 6) AS neigh2_sim,
+  coalesce(max(neighbour) FILTER (r = 3), '') AS neigh3, round(max(sim) FILTER (r = 3), 6) AS neigh3_sim, l.n AS "count"
+FROM looked l LEFT JOIN avail USING (feature) LEFT JOIN placed p ON l.feature = p.feature GROUP BY l.feature, a, l.n""",
+    ),
+)
+def replacement_counts(spark, d):
+    train, test, _, _ = parts(spark, d)
+    vocab, near = train_vocab(train), thesaurus(spark, d)
+    looked = vz.mark_iv_it(test, vocab, near).where("not iv and it")
+    out = stats.replacement_counts(looked, near, vocab, K, "ev")
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("_sim") else c for c in out.columns])
+
+
+@query(
+    "survival_counts",
+    with_ctes(
+        SPLIT,
+        "heavy AS (SELECT doc_id FROM train GROUP BY doc_id HAVING sum(weight) >= 100)",
+        select="""SELECT 0 AS cv_no, (SELECT count(*) FROM folds WHERE fold <> 0) AS docs, (SELECT count(*) FROM heavy) AS docs_kept,
+  (SELECT count(DISTINCT feature) FROM train) AS features, (SELECT count(*) FROM vocab) AS features_kept,
+  (SELECT count(*) FROM train) AS entries""",
+    ),
+)
+def survival_counts(spark, d):
+    train, _, train_docs, _ = parts(spark, d)
+    fold = lambda df: df.withColumn("cv_no", F.lit(0))
+    kept = sel.keep_docs_min_weight(train_docs, train, 100)
+    full = vz.build_vocab(train)
+    return stats.survival_counts(fold(train_docs), fold(kept), fold(full), fold(vz.limit_df(full, 2)), fold(train))
+
+

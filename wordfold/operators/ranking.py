@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordfold.functions.text import let
+
 SPLITS = 255
 
 
@@ -28,6 +30,16 @@ def split_points(keyed: DataFrame, splits: int = SPLITS) -> DataFrame:
     )
 
 
+def _points_up_to(points: Column, key: Column, splits: int) -> Column:
+    """How many ordered points are not above the key, by halving."""
+    steps = [1 << b for b in reversed(range(splits.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, s: F.when(F.coalesce(F.get(points, at + s - 1) <= key, F.lit(False)), at + s).otherwise(at),
+    )
+
+
 def global_rank(
     df: DataFrame, key: Column, by: Sequence[str] = (), name: str = "rank", total: str = "total", splits: int = SPLITS
 ) -> DataFrame:
@@ -39,7 +51,7 @@ def global_rank(
     keyed = df.withColumn("__k", key)
     placed = (
         keyed.select("*", split_points(keyed, splits).scalar().alias("__points"))
-        .withColumn("__range", F.size(F.filter("__points", lambda p: p <= F.col("__k"))))
+        .withColumn("__range", let(F.col("__k"), lambda k: _points_up_to(F.col("__points"), k, splits)))
         .drop("__points")
     )
     sizes = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
