@@ -8,6 +8,7 @@ from wordfold.catalog import inputs as i
 from wordfold.catalog.registry import query, with_ctes
 from wordfold.operators import select as sel, splits, stats, vectorize as vz
 from wordfold.sources import sinks
+from wordfold.storage import materialize
 
 K = 3
 FOLDS = f"{i.DOCS},\nfolds AS (SELECT doc_id, label, ntile(5) OVER (PARTITION BY label ORDER BY doc_id) - 1 AS fold FROM docs)"
@@ -78,7 +79,8 @@ def doc_term_counts(spark, d):
 def build_vocab(spark, d):
     from wordfold.catalog.tokens import phrase_counts
 
-    return vz.index_vocab(vz.build_vocab(phrase_counts(spark, d)))
+    # numbering reads its input three times: to draw split points, to size ranges, to number
+    return vz.index_vocab(materialize(vz.build_vocab(phrase_counts(spark, d)), "vocab"))
 
 
 @query(
@@ -111,7 +113,8 @@ def dropped_features(spark, d):
     ),
 )
 def reindex_vocab(spark, d):
-    return vz.reindex_vocab(vz.index_vocab(vz.build_vocab(dtm(spark, d))), F.col("df") > 1)
+    indexed = vz.index_vocab(materialize(vz.build_vocab(dtm(spark, d)), "vocab"))
+    return vz.reindex_vocab(materialize(indexed, "indexed"), F.col("df") > 1)
 
 
 @query("mark_iv_it", with_ctes(REPLACE, select="SELECT doc_id, iv, it, count(*) AS n, sum(weight) AS weight FROM flags GROUP BY ALL"))
@@ -173,7 +176,8 @@ def sim_fn_custom(spark, d):
 @query("signified_random")
 def signified_random(spark, d):
     train, test, _, _ = parts(spark, d)
-    drawn = vz.handle_random(test.select("doc_id", "feature", "weight"), train_vocab(train), K, 1, thesaurus(spark, d))
+    vocab = materialize(train_vocab(train), "vocab")
+    drawn = vz.handle_random(test.select("doc_id", "feature", "weight"), vocab, K, 1, thesaurus(spark, d))
     return drawn.groupBy("doc_id").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("features"))
 
 
@@ -317,7 +321,7 @@ def log_odds(spark, d):
 def select_features(spark, d):
     docs = i.quality_docs(spark, d)
     rows = sel.labelled(dtm(spark, d).drop("label"), docs)
-    vocab = vz.index_vocab(vz.build_vocab(rows))
+    vocab = materialize(vz.index_vocab(materialize(vz.build_vocab(rows), "vocab")), "indexed")
     return sel.select_features(vocab, rows, docs, 2000, thesaurus(spark, d), True, 0.1)
 
 
