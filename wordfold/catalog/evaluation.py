@@ -89,7 +89,8 @@ train AS (SELECT f.cv_no, f.doc_id, f.label, d.feature, d.weight FROM train_docs
 vocab AS (SELECT DISTINCT cv_no, feature FROM train),
 test AS (SELECT f.cv_no, f.doc_id, d.feature, d.weight FROM test_docs f JOIN dtm d ON f.doc_id = d.doc_id
   JOIN vocab v ON v.cv_no = f.cv_no AND v.feature = d.feature),
-priors AS (SELECT cv_no, label, count(*) AS docs, ln(count(*) / sum(count(*)) OVER (PARTITION BY cv_no)) AS prior FROM train_docs GROUP BY ALL),
+class_sizes AS (SELECT cv_no, label, count(*) AS docs FROM train_docs GROUP BY ALL),
+priors AS (SELECT cv_no, label, docs, ln(docs / sum(docs) OVER (PARTITION BY cv_no)) AS prior FROM class_sizes),
 sizes AS (SELECT cv_no, count(*) AS v FROM vocab GROUP BY cv_no)"""
 
 

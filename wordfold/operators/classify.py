@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wordfold.operators.blocks import block_topk
 from wordfold.operators.select import labelled
 from wordfold.operators.vectorize import index_vocab
+from wordfold.storage import materialize
 
 SMALLEST_ALPHA = 1e-10  # fixed value: additive smoothing is never exactly zero
 SCORE_DIGITS = 8  # scores that differ only in rounding noise are ties
@@ -244,7 +245,7 @@ def to_vectors(dtm: DataFrame, docs: DataFrame, indexed_vocab: DataFrame, size:
 
 
 def _fit_predict(estimator, train: DataFrame, train_docs: DataFrame, test: DataFrame, test_docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    indexed = vocab if "idx" in vocab.columns else index_vocab(vocab)
+    indexed = vocab if "idx" in vocab.columns else materialize(index_vocab(vocab), "columns")
     size = indexed.count()
     fit_rows = to_vectors(train, train_docs, indexed, size)
     labels = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(fit_rows)

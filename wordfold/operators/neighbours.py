@@ -45,7 +45,8 @@ def knn_cosine(
             chosen = vectors.join(entries.select("feature"), "feature", "left_semi")
         return chosen.select(*by, F.col("feature").alias("name"), *value)
 
-    found = block_topk(side(queries), side(vocab), k * candidates, "cosine", by, not include_self, rows)
+    items = side(vocab)
+    found = block_topk(items if queries is vocab else side(queries), items, k * candidates, "cosine", by, not include_self, rows)
     return found.select(
         *by, F.col("query").alias("feature"), F.col("item").alias("neighbour"), F.col("score").alias("sim")
     )

@@ -31,8 +31,11 @@ def feature_corpus(features: DataFrame, docs: DataFrame | None = None) -> DataFr
 
 def feature_json(corpus: DataFrame) -> DataFrame:
     """The line form ``["label", ["feature", ...]]``."""
-    line = F.concat(F.lit("["), _json_string(F.col("label")), F.lit(", "), F.to_json("features"), F.lit("]"))
-    return corpus.select(line.alias("value"))
+    return corpus.select(json_line(F.col("label"), F.col("features")).alias("value"))
+
+
+def json_line(label: Column, features: Column) -> Column:
+    return F.concat(F.lit("["), _json_string(label), F.lit(", "), F.to_json(features), F.lit("]"))
 
 
 def _json_string(text: Column) -> Column:
