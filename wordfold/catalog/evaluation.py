@@ -96,13 +96,15 @@ sizes AS (SELECT cv_no, count(*) AS v FROM vocab GROUP BY cv_no)"""
 
 def fold_parts(spark, d, docs=None, k: int = 5):
     """(train, train docs, test, test docs, vocabulary) of all folds, keyed by cv_no."""
-    folds = splits.stratified_kfold(i.doc_labels(spark, d) if docs is None else docs, k)
+    # read by several branches below, so written once
+    folds = materialize(splits.stratified_kfold(i.doc_labels(spark, d) if docs is None else docs, k), "folds")
     counts = dtm(spark, d).drop("label")
     if docs is not None:
         counts = counts.join(docs.select("doc_id"), "doc_id", "left_semi")
+    counts = materialize(counts, "counts")
     train_docs, test_docs = (folds.where(F.col("role") == r).drop("role") for r in ("train", "test"))
     train = counts.join(train_docs, "doc_id")
-    vocab = vz.build_vocab(train, BY)
+    vocab = materialize(vz.build_vocab(train, BY), "vocab")
     test = vz.apply_handler(counts.join(test_docs, "doc_id"), vocab, "base", by=BY)
     return train, train_docs, test, test_docs, vocab
 

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from wordfold.operators.blocks import block_topk
 from wordfold.operators.select import labelled
@@ -42,39 +43,65 @@ def most_common_label(train_docs: DataFrame, test_docs: DataFrame, by: Sequence[
     return _attach(test_docs.select(*by, "doc_id"), best, by)
 
 
-def _pick(classes: DataFrame, units: DataFrame, hits: DataFrame, test_docs: DataFrame, by: list[str]) -> DataFrame:
+def _feature_model(gains: DataFrame, vocab: DataFrame | None, by: list[str]) -> DataFrame:
+    """``(by, label, feature, gain)`` -> one row per feature with an array over its classes.
+
+    With a vocabulary, its features without any class are rows too.
+    """
+    model = gains.groupBy(*by, "feature").agg(F.collect_list(F.struct("label", "gain")).alias("gains"))
+    return model if vocab is None else vocab.select(*by, "feature").join(model, [*by, "feature"], "left")
+
+
+def _document_sums(test: DataFrame, model: DataFrame, label: DataType, by: list[str]) -> DataFrame:
+    """Per document ``units`` (all its weight in known features) and ``hits`` (class -> gain).
+
+    One join looks features up and drops unknown ones; one aggregation, combined map-side,
+    sums the weight (under no label) and the gains of every class.
+    """
+    none = F.array().cast(f"array<struct<label:{label.simpleString()},v:double>>")
+    own = F.array(F.struct(F.lit(None).cast(label).alias("label"), F.col("weight").alias("v")))
+    gained = F.transform("gains", lambda g: F.struct(g["label"].alias("label"), (g["gain"] * F.col("weight")).alias("v")))
+    rows = test.drop("label").join(model, [*by, "feature"])
+    sums = (
+        rows.select(*by, "doc_id", F.inline_outer(F.concat(own, F.coalesce(gained, none))))
+        .groupBy(*by, "doc_id", "label")
+        .agg(F.sum("v").alias("v"))
+    )
+    named = F.col("label").isNotNull()
+    return sums.groupBy(*by, "doc_id").agg(
+        F.sum(F.when(~named, F.col("v"))).alias("units"),
+        F.map_from_entries(F.collect_list(F.when(named, F.struct("label", "v")))).alias("hits"),
+    )
+
+
+def _pick(classes: DataFrame, sums: DataFrame, test_docs: DataFrame, by: list[str]) -> DataFrame:
     """arg max over classes of base + units x slope + hits.
 
-    ``classes (by, label, base, slope)`` becomes one row per fold; ``hits (by, doc_id, label,
-    hit)`` holds only classes that share a feature with the document.  Documents are never
+    ``classes (by, label, base, slope)`` becomes one row per fold, so documents are never
     multiplied by classes: a document picks its class inside its own row.
     """
     per_fold = classes.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("label", "base", "slope"))).alias("__classes")
     )
-    found = hits.groupBy(*by, "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "hit"))).alias("__hits"))
-    docs = test_docs.select(*by, "doc_id").join(units, [*by, "doc_id"], "left").join(found, [*by, "doc_id"], "left")
-    scored = F.transform(
-        "__classes",
-        lambda c: F.struct(
-            (
-                -F.round(
-                    c["base"]
-                    + F.coalesce(F.col("units"), F.lit(0.0)) * c["slope"]
-                    + F.coalesce(F.try_element_at(F.col("__hits"), c["label"]), F.lit(0.0)),
-                    SCORE_DIGITS,
-                )
-            ).alias("s"),
-            c["label"].alias("label"),
-        ),
-    )
-    return _attach(docs, per_fold, by).select(*by, "doc_id", F.array_min(scored)["label"].alias("prediction"))
+    docs = test_docs.select(*by, "doc_id").join(sums, [*by, "doc_id"], "left")
+
+    def ranked(c: Column) -> Column:
+        score = (
+            c["base"]
+            + F.coalesce(F.col("units"), F.lit(0.0)) * c["slope"]
+            + F.coalesce(F.try_element_at(F.col("hits"), c["label"]), F.lit(0.0))
+        )
+        return F.struct((-F.round(score, SCORE_DIGITS)).alias("s"), c["label"].alias("label"))
+
+    best = F.array_min(F.transform("__classes", ranked))
+    return _attach(docs, per_fold, by).select(*by, "doc_id", best["label"].alias("prediction"))
 
 
 def _priors(train_docs: DataFrame, by: list[str]) -> DataFrame:
     counts = train_docs.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("docs"))
-    totals = counts.groupBy(*by).agg(F.sum("docs").alias("__all"))
-    return _attach(counts, totals, by).select(*by, "label", "docs", F.ln(F.col("docs") / F.col("__all")).alias("prior"))
+    # a window over (folds x classes) rows
+    share = F.col("docs") / F.sum("docs").over(Window.partitionBy(*by))
+    return counts.select(*by, "label", "docs", F.ln(share).alias("prior"))
 
 
 def _vocab_size(train: DataFrame, vocab: DataFrame | None, by: list[str]) -> DataFrame:
@@ -102,15 +129,9 @@ def multinomial_nb(
     classes = _attach(_priors(train_docs, by).join(totals, [*by, "label"], "left"), _vocab_size(train, vocab, by), by)
     denominator = F.ln(F.coalesce(F.col("total"), F.lit(0.0)) + F.lit(a) * F.col("terms"))
     classes = classes.select(*by, "label", F.col("prior").alias("base"), (F.ln(F.lit(a)) - denominator).alias("slope"))
-    known = test.join(vocab.select(*by, "feature"), [*by, "feature"], "left_semi") if vocab is not None else test
-    hits = (
-        known.drop("label")
-        .join(seen, [*by, "feature"])
-        .groupBy(*by, "doc_id", "label")
-        .agg(F.sum(F.col("weight") * (F.ln(F.col("w") + a) - F.ln(F.lit(a)))).alias("hit"))
-    )
-    units = known.groupBy(*by, "doc_id").agg(F.sum("weight").alias("units"))
-    return _pick(classes, units, hits, test_docs, by)
+    gains = seen.select(*by, "label", "feature", (F.ln(F.col("w") + a) - F.ln(F.lit(a))).alias("gain"))
+    sums = _document_sums(test, _feature_model(gains, vocab, by), train_docs.schema["label"].dataType, by)
+    return _pick(classes, sums, test_docs, by)
 
 
 def binarise(dtm: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -175,15 +196,11 @@ def bernoulli_nb(
         ).alias("base"),
         (F.ln(p0) - F.ln(1 - p0)).alias("slope"),
     )
-    terms = vocab if vocab is not None else train.select(*by, "feature").distinct()
-    present = test.where("weight > 0").join(terms.select(*by, "feature"), [*by, "feature"], "left_semi").drop("label")
-    hits = (
-        present.join(rows.select(*by, "label", "feature", "gain"), [*by, "feature"])
-        .groupBy(*by, "doc_id", "label")
-        .agg(F.sum("gain").alias("hit"))
-    )
-    units = present.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).cast("double").alias("units"))
-    return _pick(classes, units, hits, test_docs, by)
+    # without a vocabulary every training feature counts, and all of those have gains
+    present = test.where("weight > 0").withColumn("weight", F.lit(1.0))
+    gains = rows.select(*by, "label", "feature", "gain")
+    sums = _document_sums(present, _feature_model(gains, vocab, by), train_docs.schema["label"].dataType, by)
+    return _pick(classes, sums, test_docs, by)
 
 
 def knn_classify(
