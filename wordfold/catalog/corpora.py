@@ -64,7 +64,7 @@ _COUNTS = """SELECT label, text, pos, ner, count(*) AS n FROM kept GROUP BY ALL"
 
 
 def _token_counts(sentences):
-    kept = tk.explode_tokens(tk.clean_tokens(sentences).drop("arcs"))
+    kept = tk.clean_token_rows(sentences)
     return kept.groupBy("label", "text", "pos", "ner").agg(F.count(F.lit(1)).alias("n"))
 
 

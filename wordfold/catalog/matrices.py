@@ -39,8 +39,9 @@ def dtm(spark, d):
     return vz.doc_term_counts(i.words(spark, d))
 
 
-def thesaurus(spark, d, side: str = "r:"):
-    follow = i.context_vectors(spark, d).where(F.col("ctx").startswith(side))
+def thesaurus(spark, d, side: str = "r:", contexts=None):
+    contexts = materialize(i.context_vectors(spark, d), "contexts") if contexts is None else contexts
+    follow = contexts.where(F.col("ctx").startswith(side))
     total = follow.groupBy("feature").agg(F.sum("weight").alias("t"))
     return follow.join(total, "feature").select(
         "feature", F.substring("ctx", 3, 1 << 20).alias("neighbour"), (F.col("weight") / F.col("t")).alias("sim")
@@ -50,7 +51,7 @@ def thesaurus(spark, d, side: str = "r:"):
 def parts(spark, d):
     """(train, test, train docs, test docs) of the first of five stratified folds."""
     folds = splits.first_fold_only(splits.stratified_kfold(i.doc_labels(spark, d), 5))
-    rows = dtm(spark, d)
+    rows = materialize(dtm(spark, d), "counts")
     docs = {r: folds.where(F.col("role") == r).select("doc_id", "label") for r in ("train", "test")}
     return *[rows.join(docs[r].select("doc_id"), "doc_id", "left_semi") for r in ("train", "test")], docs["train"], docs["test"]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordfold.catalog import inputs as i
 from wordfold.catalog.registry import query, with_ctes
-from wordfold.functions import grammar as g, text as tx
+from wordfold.functions import text as tx
 from wordfold.operators import features as ft, tokens as tk, vectorize as vz
 
 
@@ -96,13 +96,13 @@ def lowercase(spark, d):
     ),
 )
 def normalise_entities(spark, d):
-    kept = tk.explode_tokens(i.cleaned(spark, d, tk.TokenOptions(normalise_entities=True)).drop("arcs"))
+    kept = tk.clean_token_rows(i.sentences(spark, d), tk.TokenOptions(normalise_entities=True))
     return _counted(kept, "text", "pos")
 
 
 @query("clean_tokens", with_ctes(i.KEPT, select="SELECT text, pos, ner, count(*) AS n, sum(idx)::BIGINT AS places FROM kept GROUP BY ALL"))
 def clean_tokens(spark, d):
-    kept = tk.explode_tokens(i.cleaned(spark, d).drop("arcs"))
+    kept = tk.clean_token_rows(i.sentences(spark, d))
     return kept.groupBy("text", "pos", "ner").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("places"))
 
 
@@ -258,5 +258,3 @@ def phrase_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counted features of all kinds, for queries further on."""
     return vz.doc_term_counts(ft.extract_features(i.cleaned(spark, d)).select("doc_id", "label", "feature"))
 
-
-__all__ = ["g", "phrase_counts"]

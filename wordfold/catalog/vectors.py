@@ -179,8 +179,9 @@ sets AS (
 
 
 def two_sets(spark, d):
-    right = thesaurus(spark, d).withColumn("source_id", F.lit(0))
-    return right.unionByName(thesaurus(spark, d, "l:").withColumn("source_id", F.lit(1)))
+    contexts = materialize(i.context_vectors(spark, d), "contexts")
+    right = thesaurus(spark, d, "r:", contexts).withColumn("source_id", F.lit(0))
+    return right.unionByName(thesaurus(spark, d, "l:", contexts).withColumn("source_id", F.lit(1)))
 
 
 @query(

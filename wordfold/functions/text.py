@@ -62,7 +62,7 @@ def is_long(text: Column, shortest: int = 25) -> Column:
 
 
 def has_separator(text: Column) -> Column:
-    return text.rlike("[/_]")
+    return text.contains("/") | text.contains("_")
 
 
 def use_pos(pos: Column, enabled: bool = True) -> Column:
@@ -70,10 +70,8 @@ def use_pos(pos: Column, enabled: bool = True) -> Column:
 
 
 def coarse_pos(pos: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for coarse, fine in COARSE_POS.items():
-        out = out.when(F.upper(pos).isin(*fine), F.lit(coarse))
-    return out.otherwise(F.lit(UNKNOWN_POS))
+    cells = [F.lit(x) for coarse, fine in COARSE_POS.items() for tag in fine for x in (tag, coarse)]
+    return F.coalesce(F.try_element_at(F.create_map(*cells), F.upper(pos)), F.lit(UNKNOWN_POS))
 
 
 def ner_tag(ner: Column) -> Column:

@@ -166,6 +166,20 @@ class FeatureOptions:
     separator: str = g.SEPARATOR
 
 
+def extract_unigrams(token_rows: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """Unigram features straight from surviving token rows, for corpora used without phrases."""
+    o = options
+    keep = [c for c in token_rows.columns if c not in ("idx", "text", "pos", "ner")]
+    rows = token_rows.where(F.col("pos").isin(*as_set(o.unigram_pos))).select(
+        *keep,
+        g.format_token(F.col("text"), F.col("pos")).alias("feature"),
+        F.lit(g.UNIGRAM).alias("ftype"),
+        F.array(F.struct("text", "pos", "ner")).alias("tokens"),
+    )
+    rows = drop_invalid_features(rows, o.separator, o.require_pos)
+    return strip_pos(rows, o.separator) if o.remove_pos else rows
+
+
 def extract_features(cleaned: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
     """All wanted kinds of feature, duplicates kept, strings that do not parse dropped."""
     o = options

@@ -80,7 +80,11 @@ def token_at(tokens: Column, idx: Column) -> Column:
 
 
 def last_edge_per_pair(edges: Column) -> Column:
-    """One edge per (head, dependent): the last one in the document wins."""
+    """One edge per (head, dependent): the last one in the document wins.
+
+    Sentences without a repeated pair, nearly all of them, are passed through unsorted.
+    """
+    pairs = F.transform(edges, lambda e: e["head"].cast("long") * (1 << 32) + e["dep"])
     ordered = F.array_sort(
         F.transform(
             edges,
@@ -98,7 +102,8 @@ def last_edge_per_pair(edges: Column) -> Column:
             ),
         )
 
-    return let(ordered, keep_last)
+    plain = F.transform(edges, lambda e: F.struct(e["head"].alias("head"), e["dep"].alias("dep"), F.lit(0).alias("at"), e["type"].alias("type")))
+    return F.when(let(pairs, lambda p: F.size(F.array_distinct(p)) == F.size(p)), plain).otherwise(let(ordered, keep_last))
 
 
 def clean_tokens(sentences: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:
@@ -131,6 +136,18 @@ def clean_tokens(sentences: DataFrame, options: TokenOptions = TokenOptions()) -
     return sentences.select(*keep, let(prepared, both).alias("__c")).select(*keep, "__c.tokens", "__c.arcs")
 
 
+def clean_token_rows(sentences: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:
+    """The surviving tokens alone, one row each.
+
+    Without relations to follow, tokens are taken apart first, so every rule runs inside
+    whole-stage code generation.
+    """
+    keep = [c for c in sentences.columns if c not in ("tokens", "edges")]
+    rows = sentences.select(*keep, F.explode_outer("tokens").alias("t")).where("t is not null")
+    prepared = rows.select(*keep, _prepared(F.col("t"), options).alias("p"))
+    return prepared.where("p.keep").select(*keep, "p.idx", "p.text", "p.pos", "p.ner")
+
+
 def explode_tokens(sentences: DataFrame) -> DataFrame:
     """One row per token, for work that needs no neighbours."""
     keep = [c for c in sentences.columns if c not in ("tokens", "edges", "arcs")]

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.operators import classify, metrics, neighbours as nb, select, splits, stats, vectorize as vz
-from wordfold.operators.features import FeatureOptions, extract_features, filter_features
-from wordfold.operators.tokens import TokenOptions, clean_tokens
+from wordfold.operators.features import FeatureOptions, as_set, extract_features, extract_unigrams, filter_features
+from wordfold.operators.tokens import TokenOptions, clean_token_rows, clean_tokens
 from wordfold.sources import sinks
 from wordfold.storage import materialize
 
@@ -105,7 +105,11 @@ def check(e: Experiment, m: Model) -> None:
 def corpus_counts(corpus: DataFrame, tokens: TokenOptions, features: FeatureOptions) -> DataFrame:
     """(doc_id, label, feature, weight) from parsed sentences or from extracted features."""
     if "edges" in corpus.columns:
-        rows = extract_features(clean_tokens(corpus.drop("split"), tokens), features)
+        sentences = corpus.drop("split")
+        if as_set(features.phrase_types) or features.ngram_max > 1:
+            rows = extract_features(clean_tokens(sentences, tokens), features)
+        else:
+            rows = extract_unigrams(clean_token_rows(sentences, tokens), features)
     else:
         rows = filter_features(corpus.select("doc_id", "label", F.explode("features").alias("feature")), features)
     return vz.doc_term_counts(rows.select("doc_id", "label", "feature"))
