@@ -223,7 +223,7 @@ _ASKED = ", ".join(f"'{w}'" for w in (*i.STOPWORDS, "qqqqq"))
 def get_vector(spark, d):
     vectors = i.context_vectors(spark, d)
     asked = spark.createDataFrame([(w,) for w in sorted({*i.STOPWORDS, "qqqqq"})], "feature string")
-    return nb.get_vector(vectors, asked).select("feature", F.explode("vector").alias("ctx", "weight"))
+    return nb.get_vector(vectors, asked).select("feature", F.inline("vector"))
 
 
 # ---------------------------------------------------------------- clusters and reduction

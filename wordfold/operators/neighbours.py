@@ -164,7 +164,7 @@ def get_vector(vectors: DataFrame, features: DataFrame) -> DataFrame:
     return (
         vectors.join(features.select("feature"), "feature", "left_semi")
         .groupBy("feature")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ctx", "weight")))).alias("vector"))
+        .agg(F.array_sort(F.collect_list(F.struct("ctx", "weight"))).alias("vector"))
     )
 
 
