@@ -264,9 +264,9 @@ def to_vectors(dtm: DataFrame, docs: DataFrame, indexed_vocab: DataFrame, size:
 def _fit_predict(estimator, train: DataFrame, train_docs: DataFrame, test: DataFrame, test_docs: DataFrame, vocab: DataFrame) -> DataFrame:
     indexed = vocab if "idx" in vocab.columns else materialize(index_vocab(vocab), "columns")
     size = indexed.count()
-    fit_rows = to_vectors(train, train_docs, indexed, size)
-    labels = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(fit_rows)
-    rows = labels.transform(fit_rows).select("features", F.col("__y").alias("label")).persist()
+    labels = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(train_docs.select("label"))
+    rows = labels.transform(to_vectors(train, train_docs, indexed, size)).select("features", F.col("__y").alias("label"))
+    rows = rows.persist()  # read once per iteration of the optimiser
     try:
         n = rows.count()
         model = estimator(n, len(labels.labels)).fit(rows)

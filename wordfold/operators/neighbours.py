@@ -34,7 +34,7 @@ def knn_cosine(
     """
     dense = "embedding" in vectors.columns
     value = [F.col("embedding").alias("vec")] if dense else ["ctx", "weight"]
-    rows = rows_per_block or (4 * ROWS_PER_BLOCK if dense else ROWS_PER_BLOCK)
+    rows = rows_per_block or (2 * ROWS_PER_BLOCK if dense else ROWS_PER_BLOCK)
 
     def side(entries: DataFrame | None) -> DataFrame:
         if entries is None:
