@@ -97,8 +97,8 @@ def include_self(spark, d):
 _OVERLAP = f"""{i.WORD_LISTS},
 word_places AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM word_lists),
 runs AS (SELECT w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM word_places WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-near AS (SELECT w || '_' || w2 AS feature, w2 || '_' || w3 AS neighbour, 1.0 AS sim FROM runs WHERE w3 IS NOT NULL
-  UNION ALL SELECT w || '_' || w2, w3, 0.5 FROM runs WHERE w3 IS NOT NULL)"""
+near AS (SELECT w || '_' || w2 AS feature, w2 || '_' || w3 AS neighbour, 1.0::DOUBLE AS sim FROM runs WHERE w3 IS NOT NULL
+  UNION ALL SELECT w || '_' || w2, w3, 0.5::DOUBLE FROM runs WHERE w3 IS NOT NULL)"""
 
 
 @query(
