@@ -1,28 +1,33 @@
 """Where jobs keep intermediate tables.
 
-On a cluster the shared folder comes from ``spark.checkpoint.dir``.  Only when that
-setting is absent (unit tests) a private temporary folder is used instead.
+The folder comes from ``spark.checkpoint.dir``, which all executors must share.  Where that is not set, the
+warehouse folder is used, which has to be shared as well; the driver's temporary folder never is.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_opened: list[list[str]] = []
+
 
 def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="wordfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other job uses."""
-    return f"{shared_root(spark).rstrip('/')}/wordfold/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/wordfold/{name}-{uuid.uuid4().hex}"
+    for paths in _opened:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +36,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables of the jobs inside when it ends.
+
+    Results are lazy: write or collect them inside.
+    """
+    paths: list[str] = []
+    _opened.append(paths)
+    try:
+        yield
+    finally:
+        _opened.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
