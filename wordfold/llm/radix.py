@@ -7,8 +7,8 @@ repeated windows.  The passes take the most significant digit first, and a suffi
    (leftmost on ties).  Equal windows have equal anchors at equal offsets.  Neighbouring windows mostly share their anchor,
    so this pass moves one row per anchor, not one per byte.  All windows of one anchor form a *zone*.
 2. The second digit is the whole zone.  Where two zones are equal, all their windows are repeated at once; where an anchor
-   is repeated but its zone is not, the edge of a repeat runs through the zone.
-3. Only such edge zones are taken apart.  Blocks of ``BLOCK`` neighbouring windows are compared by the bytes all of them share (unique: none is
+   is repeated but its zone is not, the edge of a repeat may run through the zone.
+3. Only the anchors of such edge zones are taken apart, one example of each kind of zone.  Blocks of ``BLOCK`` neighbouring windows are compared by the bytes all of them share (unique: none is
    repeated) and by the bytes any of them covers (repeated: all are).  The windows of undecided blocks are compared one by one.
 
 Digits travel as 64-bit or 128-bit hashes.
@@ -211,11 +211,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     zones = materialize(_repeated_twice(zones, "gram"), "repeated-anchors")
 
     # second digit: the zone
-    kinds = materialize(zones.groupBy("gram", "zone").agg(F.count(F.lit(1)).alias("times")), "zone-kinds")
-    grams = materialize(kinds.groupBy("gram").agg(F.sum("times").alias("all")).where("all > 1").drop("all"), "anchors")
-    whole = zones.join(kinds.where("times > 1"), ["gram", "zone"]).select(*place, "n")
-    alone = zones.join(materialize(kinds.where("times = 1").join(grams, "gram").select("gram", "zone"), "edge-kinds"), ["gram", "zone"])
-    edges = alone.groupBy("__id", "__th").agg(F.collect_list(F.struct("first", "n", "offset")).alias("edges"))
+    at = F.min(F.struct(*place, "n", "offset")).alias("at")  # one example of each kind
+    kinds = materialize(zones.groupBy("gram", "zone").agg(F.count(F.lit(1)).alias("times"), at), "zone-kinds")
+    grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
+    grams = materialize(grams.select("gram"), "anchors")
+    whole = zones.join(kinds.where("times > 1").drop("at"), ["gram", "zone"]).select(*place, "n")
+    edges = kinds.join(grams, "gram").select("at.*").groupBy("__id", "__th").agg(F.collect_list(F.struct("first", "n", "offset")).alias("edges"))
     edges = materialize(edges, "edges")
 
     # third digit: blocks of the edge zones, then their windows
