@@ -3,9 +3,9 @@
 A document may belong to several sources.  Documents are summed by membership pattern; a flow routes the words of
 patterns to the quotas of the sources, where each further pass over the same words costs more than the one before
 (convex), and as many words are routed as possible.  A pattern's words are then taken from its documents in an order drawn
-by a seeded hash: everybody gets the whole passes, and the documents up to a threshold one more.
+by a seeded hash: everybody gets the whole passes, the documents up to a threshold one more, and so does the largest document beyond it that still fits.
 
-Only one row per pattern and source comes to the driver, and one threshold per pattern goes back, so documents are
+Only one row per pattern comes to the driver, and one threshold per pattern goes back, so documents are
 decided where they are read.  The threshold is found from sums over ``BUCKETS`` ranges of the hash and then inside a
 single range.  A driver that solves for more than ``MAX_PATTERNS`` patterns is refused with an error rather than run partly.
 
@@ -126,10 +126,20 @@ def _cuts(rows: DataFrame, extra: DataFrame) -> DataFrame:
     inside = rows.withColumn("bucket", bucket).join(F.broadcast(edge), ["pattern", "bucket"])
     upto = Window.partitionBy("pattern").orderBy(F.expr("shiftrightunsigned(h, 1)"), "h").rowsBetween(Window.unboundedPreceding, 0)
     summed = inside.withColumn("sum", F.col("below") + F.sum("size").over(upto))
-    taken = summed.where("sum - size / 2 <= words")
+    taken = summed.where("sum <= words")
     last = taken.groupBy("pattern").agg(F.max(F.struct(F.expr("shiftrightunsigned(h, 1)").alias("a"), "h")).alias("last"))
-    first = edge.select("pattern", F.shiftleft(F.col("bucket"), 64 - (BUCKETS.bit_length() - 1)).alias("start"))
-    return first.join(last, "pattern", "left").select("pattern", F.coalesce("last.h", "start").alias("cut"), F.col("last").isNotNull().alias("closed"))
+    first = edge.select("pattern", "below", "words", F.shiftleft(F.col("bucket"), 64 - (BUCKETS.bit_length() - 1)).alias("start"))
+    reached = taken.groupBy("pattern").agg(F.max("sum").alias("sum"))
+    cuts = first.join(last, "pattern", "left").join(reached, "pattern", "left")
+    cuts = materialize(
+        cuts.select(
+            "pattern", F.coalesce("last.h", "start").alias("cut"), F.col("last").isNotNull().alias("closed"), (F.col("words") - F.coalesce("sum", "below")).alias("room")
+        ),
+        "cuts",
+    )
+    beyond = rows.join(F.broadcast(cuts), "pattern").where(~_before_cut("h") & F.col("size").between(1, F.col("room")))
+    filler = beyond.groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("filler"))
+    return cuts.join(filler, "pattern", "left").select("pattern", "cut", "closed", F.col("filler.h").alias("filler"))
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, members: Column, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED):
@@ -151,17 +161,21 @@ def plan(docs: DataFrame, id_col: str, text_col: str, members: Column, weights=W
     whole = {p: min(routed[p] // n, passes) if n else 1 for p, n in patterns.items()}
     left = [(list(p), routed[p] - whole[p] * n) for p, n in patterns.items() if n and routed[p] > whole[p] * n]
     extra = spark.createDataFrame(left, "pattern array<string>, words bigint")
-    cuts = {tuple(r["pattern"]): (r["cut"], r["closed"]) for r in _cuts(rows, extra).collect()} if left else {}
-    table = [(list(p), whole[p], *cuts.get(p, (None, None)), [(s, sizes[s], wanted[s]) for s in p]) for p in patterns]
-    schema = "pattern array<string>, whole bigint, cut bigint, closed boolean, sources array<struct<source:string,source_size:bigint,target:double>>"
+    cuts = {tuple(r["pattern"]): (r["cut"], r["closed"], r["filler"]) for r in _cuts(rows, extra).collect()} if left else {}
+    table = [(list(p), whole[p], *cuts.get(p, (None, None, None)), [(s, sizes[s], wanted[s]) for s in p]) for p in patterns]
+    schema = "pattern array<string>, whole bigint, cut bigint, closed boolean, filler bigint, sources array<struct<source:string,source_size:bigint,target:double>>"
     return rows, spark.createDataFrame(table, schema)
 
 
-def copies(size: str = "size", h: str = "h") -> Column:
+def _before_cut(h: str) -> Column:
+    """Hashes are ordered as unsigned numbers."""
+    return F.expr(f"({h} ^ shiftleft(1L, 63)) < (cut ^ shiftleft(1L, 63)) or (closed and {h} = cut)")
+
+
+def copies(h: str = "h") -> Column:
     """How often a document is taken, after its row was joined with the plan of its pattern."""
-    # hashes are ordered as unsigned numbers
-    below = F.expr(f"({h} ^ shiftleft(1L, 63)) < (cut ^ shiftleft(1L, 63)) or (closed and {h} = cut)")
-    return F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("cut").isNotNull() & below, 1).otherwise(0)
+    more = _before_cut(h) | F.coalesce(F.expr(f"{h} = filler"), F.lit(False))
+    return F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("cut").isNotNull() & more, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -180,5 +194,5 @@ def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     marked = docs.withColumns({"__h": draw(id_col, text_col, SEED), "__pattern": F.array(F.col(source_col))}).alias("d")
     found = marked.join(F.broadcast(plans), F.col("d.__pattern").eqNullSafe(F.col("pattern")), "left")
-    times = found.withColumn("__times", copies("size", "d.__h").cast("int")).where("__times > 0")
+    times = found.withColumn("__times", copies("d.__h").cast("int")).where("__times > 0")
     return times.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
