@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup of pre-tokens in the map side.
 
-The first tier is a broadcast table with the token counts of the pre-tokens that are frequent in a bounded sample (at
-most ``SAMPLE_ROWS`` rows of ``SAMPLE_CHARS`` characters, drawn by a hash; at most ``FREQUENT`` entries).  The second is a
+The first tier is a broadcast table with the token counts of the pre-tokens that are frequent in a bounded sample (about
+``SAMPLE_ROWS`` rows and never more than twice as many, ``SAMPLE_CHARS`` characters of each; at most ``FREQUENT`` entries).  The second is a
 bounded cache in each worker that the tokenizer fills.  Counts do not depend on either, and no pre-token is ever shuffled.
 
 The tokenizer file must be byte-level BPE without a normalizer.  Null and empty texts have no tokens.
@@ -83,7 +83,8 @@ def _lengths(path: str, words: str, counts: bytes) -> Lengths:
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> tuple[str, bytes]:
     """The pre-tokens most frequent in a bounded sample, joined by NUL, and their token counts, one byte each."""
     text = F.col(text_col)
-    sample = docs.where(text.isNotNull()).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(SAMPLE_ROWS)
+    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    sample = docs.where(text.isNotNull()).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).sample(share, seed=5).limit(2 * SAMPLE_ROWS)
     seen: Counter[str] = Counter()
     for row in sample.select("t").collect():
         seen.update(PRE_TOKEN.findall(row["t"]))
