@@ -1,7 +1,7 @@
 """Repeated passages, found as runs of consecutive sentences.
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, at a line end, or after ``LONGEST`` words.  From every
-sentence on, the shortest run of at least ``RUN`` sentences and ``WORDS`` words is hashed (words in lower case, A-Z
+sentence on, and up to every sentence, the shortest run of at least ``RUN`` sentences and ``WORDS`` words is hashed (words in lower case, A-Z
 only, white space aside).  Of equal runs in all texts the first stays, by id (null first) and position; sentences covered by any other are removed.
 
 Each run is one small row; runs are joined globally by their hash, with map-side combining for the counts, and a document gets back
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +76,24 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes], list[int]]:
 def runs(text: bytes) -> Iterator[tuple[int, int, int]]:
     """Hash, first sentence and number of sentences of every run."""
     _, contents, sizes = sentences(text)
-    n, j, words = len(contents), 0, 0
-    for i in range(n):
-        while j < n and (j - i < RUN or words < WORDS):
-            words += sizes[j]
+    before = [0, *accumulate(sizes)]
+    found = set()
+    n, j = len(contents), 0
+    for i in range(n):  # the shortest from i on
+        while j <= n and (j - i < RUN or before[j] - before[i] < WORDS):
             j += 1
-        if j - i < RUN or words < WORDS:
-            return
+        if j > n:
+            break
+        found.add((i, j))
+    i = 0
+    for j in range(n + 1):  # the shortest up to j
+        while j - (i + 1) >= RUN and before[j] - before[i + 1] >= WORDS:
+            i += 1
+        if j - i >= RUN and before[j] - before[i] >= WORDS:
+            found.add((i, j))
+    for i, j in sorted(found):
         h = xxh3_64_intdigest(b" ".join(contents[i:j]))
         yield (h - (1 << 64) if h >> 63 else h), i, j - i
-        words -= sizes[i]
 
 
 _RUNS = "__id bigint, __th bigint, run bigint, first int, n int"
