@@ -496,3 +496,16 @@ def test_clusters(spark):
     rows = [(f"{x}/N", [float(i), 0.0]) for i, x in enumerate("abcd")] + [(f"{x}/N", [100.0 + i, 0.0]) for i, x in enumerate("efgh")]
     got = {r["feature"][0]: r["cluster"] for r in rd.cluster_vectors(spark.createDataFrame(rows, "feature string, embedding array<double>"), 2).collect()}
     assert len({got[x] for x in "abcd"}) == len({got[x] for x in "efgh"}) == 1 and got["a"] != got["e"]
+
+
+def test_more_than_a_hundred_folds(spark):
+    docs = spark.range(300).selectExpr("cast(id as string) doc_id", "'x' label")
+    rows = splits.kfold(docs, 101).where("role = 'test'").groupBy("cv_no").count().collect()
+    assert len(rows) == 101 and {r["count"] for r in rows} == {2, 3}
+
+
+def test_chi2_at_large_weights(spark):
+    docs = spark.createDataFrame([(str(i), "ab"[i % 2]) for i in range(4)], "doc_id string, label string")
+    dtm = spark.createDataFrame([("0", "f", 1e12 + 1000.0), ("1", "f", 1e12), ("0", "g", 4.0)], "doc_id string, feature string, weight double")
+    scores = dict(sel.chi2_scores(dtm, docs).select("feature", "score").collect())
+    assert abs(scores["f"] / (2 * 500.0**2 / (1e12 + 500)) - 1) < 1e-9 and scores["g"] == 4.0

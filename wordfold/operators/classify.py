@@ -26,7 +26,7 @@ SCORE_DIGITS = 8  # scores that differ only in rounding noise are ties
 
 
 def _attach(df: DataFrame, per_fold: DataFrame, by: list[str]) -> DataFrame:
-    """Add the columns of a table that has one row per fold (at most MAX_FOLDS rows)."""
+    """Add the columns of a table that has one row per fold ."""
     if by:
         return df.join(F.broadcast(per_fold), by)
     for name in per_fold.columns:
@@ -282,7 +282,7 @@ def _per_fold(fit, train, train_docs, test, test_docs, vocab, by: list[str]) ->
     if not by:
         return fit(train, train_docs, test, test_docs, vocab)
     out = None
-    for row in train_docs.select(*by).distinct().orderBy(*by).collect():  # at most MAX_FOLDS rows
+    for row in train_docs.select(*by).distinct().orderBy(*by).collect():  # one row per fold
         pick = lambda df: df.where(F.col(by[0]) == row[0]).drop(*by)
         one = fit(pick(train), pick(train_docs), pick(test), pick(test_docs), pick(vocab)).withColumn(by[0], F.lit(row[0]))
         out = one if out is None else out.unionByName(one)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordfold.operators.ranking import global_rank, top_k
@@ -31,19 +31,22 @@ def keep_in_model(vocab: DataFrame, model: DataFrame | None) -> DataFrame:
 def chi2_scores(dtm: DataFrame, docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per feature, sum over classes of (observed - expected)^2 / expected.
 
-    Expected is (share of documents in the class) x (total weight T).  Expanding the square
-    leaves sum(observed^2 / expected) - T, where classes without the feature contribute
-    nothing, so only (feature, class) pairs that occur are ever formed.
+    Expected is (share of documents in the class) x (total weight T).  A class without the
+    feature contributes its expected weight, so only (feature, class) pairs that occur are
+    formed and T x (1 - their shares) is added; no large sums are subtracted.
     """
     by = list(by)
     observed = labelled(dtm, docs, by).groupBy(*by, "feature", "label").agg(F.sum("weight").alias("__o"))
     counts = docs.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("__n"))
     shares = _share_of_documents(counts, by)
+    feature = Window.partitionBy(*by, "feature")  # at most one row per class
+    expected = F.col("__t") * F.col("__share")
     return (
         observed.join(shares, [*by, "label"])
+        .withColumn("__t", F.sum("__o").over(feature))
         .groupBy(*by, "feature")
-        .agg(F.sum("__o").alias("__t"), F.sum(F.col("__o") * F.col("__o") / F.col("__share")).alias("__s"))
-        .select(*by, "feature", F.coalesce(F.col("__s") / F.col("__t") - F.col("__t"), F.lit(0.0)).alias("score"))
+        .agg(F.first("__t").alias("__t"), F.sum("__share").alias("__shares"), F.sum((F.col("__o") - expected) ** 2 / expected).alias("__s"))
+        .select(*by, "feature", F.coalesce(F.col("__s") + F.col("__t") * F.greatest(1 - F.col("__shares"), F.lit(0.0)), F.lit(0.0)).alias("score"))
     )
 
 

@@ -163,6 +163,8 @@ def run_experiment(
         test_corpus = corpus.where("split = 'test'")
         corpus = corpus.where("split = 'train'")
         if e.split not in splits.SPLITS_WITH_TEST_SET:
+            if not test_corpus.isEmpty():
+                raise ValueError(f"the corpus has test documents, which a split of kind {e.split} does not use")
             test_corpus = None
     same = e.train_features == e.test_features
     docs = corpus.select("doc_id", "label").distinct()
