@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\u2581"
-#: Entries of the cache of a worker, and the longest word it holds.
-CACHE, CACHED_CHARS = 200_000, 64
+#: Entries of each of the two generations of a worker's cache, and the longest word it holds.
+CACHE, CACHED_CHARS = 150_000, 64
+#: Longer texts are taken apart one word at a time instead of all at once.
+_LONG = 1 << 20
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
 
@@ -51,10 +53,15 @@ class Codec:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i, scores[i]))
         self.automaton.make_automaton()
         self.by_word = not any(SPACE in self.pieces[i].lstrip(SPACE) or "\n" in self.pieces[i] for i in plain)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        text = {i: bytes((b,)) for i, b in self.bytes_of.items()} | dict.fromkeys(self.silent, b"") | {self.unknown: " \u2047 ".encode()}
+        self.raw = [text.get(i, p.encode()) for i, p in enumerate(self.pieces)]
 
     def segment(self, word: str) -> list[int]:
         """The best pieces of a string without further cuts."""
+        if len(word) <= CACHED_CHARS and self.singles.issuperset(word):
+            return self._segment_known(word)
         n = len(word)
         best, came = array("d", [float("-inf")]) * (n + 1), array("i", [0]) * (n + 1)
         best[0] = 0.0
@@ -87,6 +94,32 @@ class Codec:
         out.reverse()
         return out
 
+    def _segment_known(self, word: str) -> list[int]:
+        """The same for a short string of known characters."""
+        best, came = [float("-inf")] * (len(word) + 1), [0] * (len(word) + 1)
+        best[0] = 0.0
+        for end, (length, piece, score) in self.automaton.iter(word):
+            total = best[end + 1 - length] + score
+            if total > best[end + 1]:
+                best[end + 1], came[end + 1] = total, piece
+        out, at = [], len(word)
+        while at:
+            out.append(came[at])
+            at -= len(self.pieces[came[at]])
+        out.reverse()
+        return out
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Pieces of a word that was not seen recently."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.segment(word))
+        if len(word) <= CACHED_CHARS:
+            if len(self.recent) >= CACHE:
+                self.older, self.recent = self.recent, {}
+            self.recent[word] = ids
+        return ids
+
     def encode(self, text: str) -> array:
         out = array("i")
         if not text:
@@ -95,29 +128,13 @@ class Codec:
         if not self.by_word:
             out.extend(self.segment(text))
             return out
-        cache = self.cache
-        for found in _WORDS.finditer(text):
-            word = found.group()
-            ids = cache.get(word)
-            if ids is None:
-                ids = tuple(self.segment(word))
-                if len(word) <= CACHED_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = ids
-            out.extend(ids)
+        words = _WORDS.findall(text) if len(text) < _LONG else (m.group() for m in _WORDS.finditer(text))
+        for word in words:
+            out.extend(self.recent.get(word) or self._word(word))
         return out
 
     def decode(self, ids) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.bytes_of:
-                parts.append(bytes((self.bytes_of[i],)))
-            elif i == self.unknown:
-                parts.append(" \u2047 ".encode())
-            elif i not in self.silent:
-                parts.append(self.pieces[i].encode())
-        text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
