@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import LETTERS_THESAURUS, PETS_THESAURUS, SCHEMA, lines, nouns
-from wordfold.operators import features as ft, tokens as tk, vectorize as vz
+from wordfold.operators import features as ft, neighbours as nb, tokens as tk, vectorize as vz
 from wordfold.plans import corpus as pc, experiment as ex, models as pm
 from wordfold.sources import corpora as co, sinks, vectors as ve
 
@@ -187,6 +187,57 @@ def test_clusters_and_random(spark, pets):
     assert ex.run_experiment(pets[0], e, ex.Model(), pets[1]).test.agg(F.sum("weight")).first()[0] == 9 * 2
 
 
+def test_random_neighbours_follow_the_handler(pets):
+    e = ex.Experiment(split="test_set", random_neighbours=True, k=2, **BASE)
+    base = ex.run_experiment(pets[0], e, ex.Model(), pets[1])
+    known = {(r["doc_id"], r["feature"]): r["weight"] for r in base.test.collect()}
+    marked = base.coverage.where("stage = 'ev'")
+    assert {r["IT"] for r in marked.collect()} == {1}
+    unknown = marked.where("IV = 0").agg(F.sum("count")).first()[0]
+    assert unknown > 0
+    e = ex.Experiment(split="test_set", handler="signifier_signified", random_neighbours=True, k=2, **BASE)
+    mixed = {(r["doc_id"], r["feature"]): r["weight"] for r in ex.run_experiment(pets[0], e, ex.Model(), pets[1]).test.collect()}
+    # features of the vocabulary stay, every occurrence of another draws two entries
+    assert all(mixed[key] >= weight for key, weight in known.items())
+    assert sum(mixed.values()) == sum(known.values()) + 2 * unknown
+
+
+def test_entries_of_restricts_membership(spark, pets):
+    near = ve.parse_thesaurus(lines(spark, PETS_THESAURUS))
+    only = spark.createDataFrame([("cat/N",)], "feature string")
+    e = ex.Experiment(split="test_set", handler="signified_only", is_thesaurus=True, min_df=2, **BASE)
+    result = ex.run_experiment(pets[0], e, ex.Model(neighbours=near, entries_of=only), pets[1])
+    assert {r["feature"] for r in result.coverage.where("IT = 1").collect()} == {"cat/N"}
+    assert {r["feature"] for r in result.replacements.collect()} <= {"cat/N"}
+    # rare training words are counted before the limit on document frequency
+    assert {r["IV"] for r in result.coverage.where("stage = 'tr'").collect()} == {1}
+
+
+def test_empty_conll_documents_stay(spark):
+    docs = spark.createDataFrame([("a", "x", "1\tHe\the\tPRP\tO\t2\tnsubj"), ("b", "x", ""), ("c", "y", None)], "doc_id string, label string, text string")
+    got = {r["doc_id"]: (len(r["tokens"]), len(r["edges"])) for r in co.parse_conll(docs).collect()}
+    assert got == {"a": (1, 1), "b": (0, 0), "c": (0, 0)}
+
+
+def test_json_ids_do_not_depend_on_the_scan(spark, tmp_path):
+    (tmp_path / "c.json").write_text('["x", ["a/N"]]\n["x", ["a/N"]]\n["y", ["b/N"]]\n')
+    first, second = ({r["doc_id"] for r in co.read_feature_json(spark, str(tmp_path)).repartition(n).collect()} for n in (1, 3))
+    assert first == second and len(first) == 3
+
+
+def test_wide_dumps_have_every_column(spark, pets):
+    rows = vz.doc_term_counts(ft.extract_features(tk.clean_tokens(pets[0]), UNI).select("doc_id", "label", "feature"))
+    names = ["cat/N", *[f"w{n}/N" for n in range(2001)]]
+    assert sinks.dump_dtm(rows, pets[0].select("doc_id", "label"), names).columns[4:] == names
+
+
+@pytest.mark.parametrize("n", [3, 900])
+def test_ranks_are_trimmed_before_the_shuffle(spark, n):
+    near = spark.createDataFrame([(0, "a", "b", 0.5)], "source_id int, feature string, neighbour string, sim double")
+    for df in (nb.neighbour_strategy(near, n), nb.combine_neighbours(near, per_source=n, k=n)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_selection_and_pruning(spark, pets):
     model = ex.Model(neighbours=ve.parse_thesaurus(lines(spark, PETS_THESAURUS)).where("feature <> 'kid/N'"))
     e = ex.Experiment(split="test_set", handler="signifier_signified", must_be_in_model=True, select_k=3, min_train_features=1, **BASE)

@@ -40,8 +40,8 @@ def dtm(spark, d):
 
 
 def thesaurus(spark, d, side: str = "r:", contexts=None):
-    contexts = materialize(i.context_vectors(spark, d), "contexts") if contexts is None else contexts
-    follow = contexts.where(F.col("ctx").startswith(side))
+    wanted = F.col("ctx").startswith(side)
+    follow = materialize(i.context_vectors(spark, d).where(wanted), "contexts") if contexts is None else contexts.where(wanted)
     total = follow.groupBy("feature").agg(F.sum("weight").alias("t"))
     return follow.join(total, "feature").select(
         "feature", F.substring("ctx", 3, 1 << 20).alias("neighbour"), (F.col("weight") / F.col("t")).alias("sim")

@@ -85,8 +85,9 @@ def neighbour_strategy(neighbours: DataFrame, n: int, strategy: str = "linear",
     """
     keys = [*by, "feature"]
     if strategy == "linear":
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sim"), F.asc("neighbour"))) - 1
-        return neighbours.withColumn("rank", rank).where(F.col("rank") < n)
+        # the bare row number is filtered, so that every partition keeps its n best before the shuffle
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sim"), F.asc("neighbour")))
+        return neighbours.withColumn("rank", place).where(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1)
     if strategy != "skipping":
         raise ValueError(f"unknown neighbour strategy {strategy}")
     # n steps visit at most n + 1 entries, so n + 1 neighbours per entry always hold an unvisited one
@@ -187,16 +188,22 @@ def random_neighbours(
     return drawn.join(names, [*by, "idx"]).drop("idx", "__step", "__size").withColumn("sim", F.lit(1.0))
 
 
-def combine_neighbours(sets: DataFrame, entries: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+def combine_neighbours(
+    sets: DataFrame, entries: DataFrame | None = None, by: Sequence[str] = (), per_source: int | None = None, k: int | None = None
+) -> DataFrame:
     """Merge the neighbours of several vector sets ``(by, source_id, feature, neighbour, sim)``.
 
     Entries in fewer than two sets have no neighbours; ``entries (source_id, feature)`` says
     what each set contains where that is more than what has neighbours.  The combined weight
-    is 1/(1 + mean rank).
+    is 1/(1 + mean rank).  ``per_source`` takes only the best of each set into account, ``k``
+    keeps the best of the result; both are cut before rows are shuffled.
     """
     by = list(by)
     inside = Window.partitionBy(*by, "source_id", "feature").orderBy(F.desc("sim"), F.asc("neighbour"))
-    placed = sets.withColumn("__rank", F.row_number().over(inside) - 1)
+    placed = sets.withColumn("__rank", F.row_number().over(inside))
+    if per_source is not None:
+        placed = placed.where(F.col("__rank") <= per_source)
+    placed = placed.withColumn("__rank", F.col("__rank") - 1)
     trusted = (
         (sets if entries is None else entries)
         .groupBy("feature")
@@ -215,4 +222,7 @@ def combine_neighbours(sets: DataFrame, entries: DataFrame | None = None, by: Se
     order = Window.partitionBy(*by, "feature").orderBy(
         F.desc("contained_in"), F.round("mean_rank", 9).asc(), F.round("mean_dist", 9).asc(), F.asc("neighbour")
     )
-    return merged.select("*", (1 / (1 + F.col("mean_rank"))).alias("sim"), (F.row_number().over(order) - 1).alias("rank"))
+    ranked = merged.withColumn("rank", F.row_number().over(order))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
+    return ranked.select(*merged.columns, (1 / (1 + F.col("mean_rank"))).alias("sim"), (F.col("rank") - 1).alias("rank"))

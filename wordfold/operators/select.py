@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from wordfold.operators.ranking import global_rank, top_k
 from wordfold.operators.vectorize import reindex_vocab
 
-# Up to this many features the best ones fit in one task after every partition kept its own k best.
-LARGEST_TASK_TOP_K = 100_000
+# Up to this k Spark keeps only the k best of every partition before a window's shuffle.
+TRIMMED_K = 1000
 SMOOTHING = 0.000001  # fixed value
 
 
@@ -66,7 +66,7 @@ def select_k_best(scores: DataFrame, k: int | str, by: Sequence[str] = ()) -> Da
     k = int(k)
     by = list(by)
     order = [F.round("score", 9).desc(), F.asc("feature")]
-    if k <= LARGEST_TASK_TOP_K:
+    if k < TRIMMED_K:
         return top_k(scores, order, k, by) if by else scores.orderBy(*order).limit(k)
     key = F.struct((-F.round("score", 9)).alias("s"), F.col("feature").alias("f"))
     return global_rank(scores, key, by).where(F.col("rank") < k).drop("rank", "total")

@@ -100,15 +100,18 @@ def dropped_features(vocab: DataFrame, kept: DataFrame, by: Sequence[str] = ())
 
 
 def mark_iv_it(
-    dtm: DataFrame, vocab: DataFrame, model: DataFrame | None = None, by: Sequence[str] = ()
+    dtm: DataFrame, vocab: DataFrame | None, model: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Flag every row: is the feature in the vocabulary (iv), is it in the model (it).
 
     Both lookups add a column to an otherwise unchanged table, so a frequent feature can be
     split over tasks by the adaptive skew join; neither side is broadcast unless it is small.
+    Without a vocabulary, as while training documents are counted, every feature is in it.
     """
-    marks = vocab.select(*by, "feature").withColumn("iv", F.lit(True))
-    out = dtm.join(marks, [*by, "feature"], "left")
+    if vocab is None:
+        out = dtm.withColumn("iv", F.lit(True))
+    else:
+        out = dtm.join(vocab.select(*by, "feature").withColumn("iv", F.lit(True)), [*by, "feature"], "left")
     if model is None:
         out = out.withColumn("it", F.lit(False))
     else:
@@ -203,6 +206,18 @@ def handle_random(
     return merge_duplicates(drawn.select(*keep, F.col("neighbour").alias("feature"), F.lit(1.0).alias("weight")), by)
 
 
+def handle_marked_random(
+    marked: DataFrame, vocab: DataFrame, handler: str | dict[tuple[bool, bool], str], k: int, seed: int = 0, by: Sequence[str] = ()
+) -> DataFrame:
+    """As ``apply_handler`` with a random source, which has every entry; ``marked`` carries ``iv``."""
+    rules = HANDLERS[handler] if isinstance(handler, str) else handler
+    keep = [c for c in marked.columns if c not in ("iv", "it")]
+    action = F.when(F.col("iv"), F.lit(rules[True, True])).otherwise(F.lit(rules[False, True]))
+    kept = marked.where(action == KEEP).select(*keep)
+    drawn = handle_random(marked.where(action == EXPAND).select(*keep), vocab, k, seed, None, by)
+    return merge_duplicates(kept.unionByName(drawn.select(*keep)), by)
+
+
 def transform_test(
     dtm: DataFrame,
     vocab: DataFrame,

@@ -8,7 +8,7 @@ stage recomputes the corpus and a lost executor costs only its own tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +74,13 @@ class Model:
     def given(self) -> bool:
         return bool(self.vectors) or self.neighbours is not None or self.clusters is not None
 
+    def restricted(self) -> Model:
+        """The model without the entries that ``entries_of`` lacks: they count as unknown everywhere."""
+        if self.entries_of is None:
+            return self
+        near = None if self.neighbours is None else nb.restrict_entries(self.neighbours, self.entries_of)
+        return replace(self, vectors=[nb.restrict_entries(v, self.entries_of) for v in self.vectors], neighbours=near, entries_of=None)
+
 
 @dataclass(frozen=True)
 class Result:
@@ -122,19 +129,17 @@ def in_fold(counts: DataFrame, folds: DataFrame, role: str) -> DataFrame:
 
 def neighbour_table(e: Experiment, m: Model, vocab: DataFrame, lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(neighbours per fold, model entries) for the features that will be looked up."""
-    restrict = (lambda v: nb.restrict_entries(v, m.entries_of)) if m.entries_of is not None else (lambda v: v)
     if m.neighbours is not None:
-        table = restrict(m.neighbours)
-        entries = table.select("feature").distinct()
-        near = nb.include_self(nb.sim_threshold(table, e.sim_threshold), e.include_self)
-        if e.max_neighbours is not None:
-            near = nb.max_neighbours(near, e.max_neighbours)
+        entries = m.neighbours.select("feature").distinct()
+        near = nb.include_self(nb.sim_threshold(m.neighbours, e.sim_threshold), e.include_self)
         if not e.allow_lexical_overlap:
             near = nb.drop_lexical_overlap(near)
+        if e.max_neighbours is not None:
+            near = nb.max_neighbours(near, e.max_neighbours)
         return near, entries
     sets, keys = None, BY
     for i, vectors in enumerate(m.vectors):
-        vectors = nb.add_noise(restrict(vectors), e.noise, e.seed + i)
+        vectors = nb.add_noise(vectors, e.noise, e.seed + i)
         # following a chain of neighbours needs the neighbours of every vocabulary entry too
         queries = lookups if e.neighbour_strategy == "linear" else lookups.unionByName(vocab.select(*lookups.columns)).distinct()
         near = nb.knn_cosine(vectors, e.k, vocab, queries, e.include_self, by=keys)
@@ -147,18 +152,21 @@ def neighbour_table(e: Experiment, m: Model, vocab: DataFrame, lookups: DataFram
         sets = near if sets is None else sets.unionByName(near)
     entries = None
     for i, vectors in enumerate(m.vectors):
-        one = restrict(vectors).select("feature").distinct().withColumn("source_id", F.lit(i))
+        one = vectors.select("feature").distinct().withColumn("source_id", F.lit(i))
         entries = one if entries is None else entries.unionByName(one)
+    spare = e.k * nb.CANDIDATES_PER_NEIGHBOUR
     if len(m.vectors) == 1:
-        near = nb.neighbour_strategy(sets.drop("source_id"), e.k * nb.CANDIDATES_PER_NEIGHBOUR if e.neighbour_strategy == "linear" else e.k, e.neighbour_strategy, keys)
+        near = nb.neighbour_strategy(sets.drop("source_id"), spare if e.neighbour_strategy == "linear" else e.k, e.neighbour_strategy, keys)
         return near, entries.select("feature")
-    return nb.combine_neighbours(sets, entries, keys), entries.select("feature").distinct()
+    # with their own copy of an entry, sets hold up to one neighbour more than they were asked for
+    return nb.combine_neighbours(sets, entries, keys, spare + 1), entries.select("feature").distinct()
 
 
 def run_experiment(
     corpus: DataFrame, e: Experiment = Experiment(), model: Model = Model(), test_corpus: DataFrame | None = None, output: str | None = None
 ) -> Result:
     check(e, model)
+    model = model.restricted()
     if test_corpus is None and "split" in corpus.columns:
         test_corpus = corpus.where("split = 'test'")
         corpus = corpus.where("split = 'train'")
@@ -217,8 +225,8 @@ def run_experiment(
     elif e.vectorizer is not None:
         test, marked = e.vectorizer(test_rows, vocab, model, BY), vz.mark_iv_it(test_rows, vocab, entries, BY)
     elif e.random_neighbours:
-        test = vz.handle_random(test_rows, vocab, e.k, e.seed, None, BY)
-        marked = vz.mark_iv_it(test_rows, vocab, vocab, BY)
+        marked = vz.mark_iv_it(test_rows, vocab, None, BY).withColumn("it", F.lit(True))
+        test = vz.handle_marked_random(marked, vocab, e.handler, e.k, e.seed, BY)
     else:
         marked = vz.mark_iv_it(test_rows, vocab, entries, BY)
         if e.handler == "base":
@@ -253,9 +261,9 @@ def run_experiment(
     on_training = classify.run_classifiers(e.classifiers, train, train_docs, train, train_docs, kept_vocab, BY).join(
         train_docs.select(*BY, "doc_id", "label"), [*BY, "doc_id"]
     )
-    coverage = stats.coverage_counts(vz.mark_iv_it(in_fold(train_counts, folds, "train"), full_vocab, entries, BY), "tr").unionByName(
-        stats.coverage_counts(marked, "ev")
-    )
+    # training features count as known before any limit on their frequency
+    in_training = vz.mark_iv_it(in_fold(train_counts, folds, "train"), None, entries, BY)
+    coverage = stats.coverage_counts(in_training, "tr").unionByName(stats.coverage_counts(marked, "ev"))
     result = Result(
         scores=metrics.scores_per_fold(judged),
         training_scores=metrics.scores_per_fold(on_training),

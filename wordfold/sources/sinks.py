@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import grammar as g
 from wordfold.operators.features import with_type
+from wordfold.storage import materialize
 
 WRITABLE_TYPES = (g.UNIGRAM, "AN", "NN", "VO", "SVO")
-WIDE_LIMIT = 2000  # columns; beyond this a dump stays in long form
 MISSING_SCORE = -1.0
 
 
@@ -106,6 +106,7 @@ def score_table(scores: DataFrame) -> DataFrame:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
+    scores = materialize(scores, "scores")  # read twice: to test for rows, to write
     if scores.isEmpty():
         raise ValueError("there are no scores: selection may have removed all test documents of all folds")
     score_table(scores).write.csv(path, header=True)
@@ -139,14 +140,14 @@ def dump_long(dtm: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def dump_dtm(dtm: DataFrame, docs: DataFrame, columns: Sequence[str] | None = None, test: bool = False) -> DataFrame:
-    """The matrix for inspection, one column per feature while there are few, else a map.
+    """The matrix for inspection: one column for each of ``columns`` in their order, or a map where none are given.
 
-    Test documents have an empty target.  ``columns`` fixes the features and their order.
+    Test documents have an empty target.
     """
     rows = dump_long(dtm if columns is None else dtm.where(F.col("feature").isin(*columns)), docs)
     if test:
         rows = rows.withColumn("target", F.lit(""))
-    if columns is None or len(columns) > WIDE_LIMIT:
+    if columns is None:
         return rows
     wide = [F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)).alias(c) for c in columns]
     return rows.select("id", "target", "total_feat_weight", "nonzero_feats", *wide)
