@@ -9,10 +9,11 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from wordfold.llm import exact, graph, langid, mixing, pieces, radix, sentences, simhash, sketch, tokens, urls  # noqa: E402
+from wordfold.llm import exact, graph, langid, mixing, pieces, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
 from wordfold.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, pieces int, __extra string"
@@ -153,6 +154,17 @@ def test_gradients():
         assert abs((above - below) / 2e-2 - g[name].reshape(-1)[at]) < 1e-3
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    many = [("a", k, f"a{k}") for k in range(-(2**63), 2**63, 2**64 // 5000)]
+    table = [*many, *[("a", -(2**61), "z")] * 3000, *[("b", 7, "y"), ("b", 7, "x"), ("b", 3, "w"), (None, 1, "v")]]
+    found = sample.smallest_hashes(spark.createDataFrame(table, "g string, h long, v string").repartition(7), "g", "h", F.col("v"), 100)
+    want = [(g, h) for g, h in sorted({r[:2] for r in table if r[0]}) if g == "b"] + sorted({r[:2] for r in table if r[0] == "a"})[:100]
+    got = found.collect()
+    assert sorted((r["g"], r["h"]) for r in got) == sorted(want)
+    assert {r["value"] for r in got if r["g"] == "b"} == {"w", "x"}
+    assert sample.smallest_hashes(spark.createDataFrame([], "g string, h long, v string"), "g", "h", F.col("v"), 2).count() == 0
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(1)
     make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))

@@ -2,7 +2,7 @@
 
 The network reads a text in stretches of ``STEPS`` bytes, from both ends of each; at every byte the two hidden states
 give a probability for each language, and the mean over all bytes of the text decides.  It is trained with numpy by
-backpropagation through time on a bounded sample: at most ``PER_LANGUAGE`` rows of each language, at most
+backpropagation through time on a bounded sample: at most ``PER_LANGUAGE`` different texts of each language, at most
 ``SAMPLE_CHARS`` characters of each, drawn by a hash.  Prediction reads every byte of every text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there is nothing to learn from.
@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordfold.llm import rows
+from wordfold.llm import rows, sample
 
 STEPS = 64
 HIDDEN = 8
@@ -199,15 +199,14 @@ def predict(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(labelled: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded training sample, the same on every run: the rows of each language with the smallest hashes."""
+    """The bounded training sample, the same on every run: the texts of each language with the smallest hashes."""
     text = F.col(text_col)
     start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    drawn = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(text, F.lit(11)).alias("h"), F.substring(text, start, F.lit(SAMPLE_CHARS)).alias("text")
+    drawn = labelled.where(text.isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(text, F.lit(11)).alias("h"), F.substring(text, start, F.lit(SAMPLE_CHARS)).alias("part")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
-    return sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").collect())
+    found = sample.smallest_hashes(drawn, "lang", "h", F.col("part"), PER_LANGUAGE)
+    return sorted((r["value"], r["lang"]) for r in found.select("value", "lang").collect())
 
 
 def _predictor(net: Network | None):

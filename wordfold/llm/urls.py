@@ -1,6 +1,6 @@
 """URL verdicts: rules first, then a logistic regression on hashed character n-grams of host and path.
 
-The model is trained from a small labelled table: at most ``PER_VERDICT`` urls that a rule blocks and as many that a rule allows, drawn
+The model is trained from a small labelled table: at most ``PER_VERDICT`` different urls that a rule blocks and as many that a rule allows, drawn
 by a hash.  If all labels agree the method gives that verdict to every url, without any label ``allow``.
 
 The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; the path goes on up to ``?`` or
@@ -14,9 +14,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordfold.llm import sample
+from wordfold.storage import materialize
+
 PER_VERDICT = 1000
 FEATURES = 1 << 14
 LENGTHS = (3, 4, 5)
@@ -73,11 +76,11 @@ def grams_of(host: Column, path: Column) -> Column:
 
 
 def labelled_sample(parts: DataFrame) -> DataFrame:
-    """The small labelled table: urls a rule decides, at most ``PER_VERDICT`` of each verdict."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "host", "path"))
+    """The small labelled table: different urls a rule decides, at most ``PER_VERDICT`` of each verdict."""
     label = rule_of(F.col("host"), F.col("path"), field="verdict")
-    drawn = parts.select("host", "path", label.alias("label"), F.xxhash64("host", "path").alias("h")).where("label is not null")
-    return drawn.withColumn("rank", rank).where(F.col("rank") <= PER_VERDICT).select("host", "path", "label")
+    drawn = parts.select("host", "path", label.alias("label"), F.xxhash64("host", "path").alias("h"))
+    found = sample.smallest_hashes(drawn, "label", "h", F.struct("host", "path"), PER_VERDICT)
+    return materialize(found.select("value.host", "value.path", "label"), "labelled-urls")
 
 
 def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -85,11 +88,11 @@ def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id") -> Da
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-    sample = labelled_sample(parts).withColumns({"grams": grams_of(F.col("host"), F.col("path")), "y": (F.col("label") == "block").cast("double")})
-    labels = [r["label"] for r in sample.select("label").distinct().collect()]
+    few = labelled_sample(parts).withColumns({"grams": grams_of(F.col("host"), F.col("path")), "y": (F.col("label") == "block").cast("double")})
+    labels = [r["label"] for r in few.select("label").distinct().collect()]
     rule, given = rule_of(F.col("host"), F.col("path")), rule_of(F.col("host"), F.col("path"), field="verdict")
     if len(labels) == 2:
-        model = LogisticRegression(featuresCol="features", labelCol="y", regParam=0.01, maxIter=25).fit(hashing.transform(sample))
+        model = LogisticRegression(featuresCol="features", labelCol="y", regParam=0.01, maxIter=25).fit(hashing.transform(few))
         parts = model.transform(hashing.transform(parts.withColumn("grams", grams_of(F.col("host"), F.col("path")))))
         method = F.when(vector_to_array("probability")[1] >= 0.5, "block").otherwise("allow")
     else:
