@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordfold.catalog import inputs as i
 from wordfold.catalog.evaluation import _FOLDED, _FOLD_ROWS, _TWO_SQL, _scores_sql, two_classifiers
-from wordfold.catalog.matrices import REPLACE, SPLIT, THESAURUS, parts, thesaurus, train_vocab
+from wordfold.catalog.matrices import BY, REPLACE, SPLIT, THESAURUS, parts, thesaurus, train_vocab
 from wordfold.catalog.registry import query, with_ctes
 from wordfold.catalog.vectors import dense_as_sparse
 from wordfold.operators import features as ft, metrics as mt, reduce as rd, stats, tokens as tk, vectorize as vz
@@ -318,19 +318,23 @@ def write_gold(spark, d):
     "write_stats",
     with_ctes(
         REPLACE,
-        select="""SELECT 0 AS cv_fold, 'ev' AS stage, iv::INT AS "IV", it::INT AS "IT", count(DISTINCT feature) AS types, sum(weight)::BIGINT AS tokens
-FROM flags GROUP BY ALL""",
+        select="""SELECT cv_no AS cv_fold, 'ev' AS stage, iv::INT AS "IV", it::INT AS "IT", count(DISTINCT feature) AS types, sum(weight)::BIGINT AS tokens,
+  CASE WHEN NOT iv AND it THEN count(DISTINCT feature) END AS replaced_types, CASE WHEN NOT iv AND it THEN sum(weight)::BIGINT END AS replaced_tokens
+FROM flags GROUP BY cv_no, iv, it""",
     ),
 )
 def write_stats(spark, d):
     train, test, _, _ = parts(spark, d)
     vocab, near = train_vocab(train), thesaurus(spark, d)
-    marked = vz.mark_iv_it(test, vocab, near)
+    marked = vz.mark_iv_it(test, vocab, near, BY)
     path = scratch_path(spark, "stats")
     looked_up = marked.where("not iv and it")
-    sinks.write_stats(stats.coverage_counts(marked, "ev"), stats.replacement_counts(looked_up, near, vocab, 3, "ev"), path)
+    sinks.write_stats(stats.coverage_counts(marked, "ev"), stats.replacement_counts(looked_up, near, vocab, 3, "ev", BY), path)
     rows = spark.read.parquet(f"{path}/coverage")
-    return rows.groupBy("cv_fold", "stage", "IV", "IT").agg(F.count_distinct("feature").alias("types"), F.sum("count").alias("tokens"))
+    covered = rows.groupBy("cv_fold", "stage", "IV", "IT").agg(F.count_distinct("feature").alias("types"), F.sum("count").alias("tokens"))
+    given = spark.read.parquet(f"{path}/replacements").groupBy("cv_fold", "stage", F.lit(0).alias("IV"), F.lit(1).alias("IT"))
+    replaced = given.agg(F.count_distinct("feature").alias("replaced_types"), F.sum("count").alias("replaced_tokens"))
+    return covered.join(replaced, ["cv_fold", "stage", "IV", "IT"], "left")
 
 
 @query(

@@ -11,13 +11,16 @@ from wordfold.sources import sinks
 from wordfold.storage import materialize
 
 K = 3
+BY = ["cv_no"]
 FOLDS = f"{i.DOCS},\nfolds AS (SELECT doc_id, label, ntile(5) OVER (PARTITION BY label ORDER BY doc_id) - 1 AS fold FROM docs)"
-# the first of five stratified folds is the test part; the vocabulary has words of two or more training documents
+# five stratified folds; the vocabulary of a fold has words of two or more of its training documents
 SPLIT = f"""{i.DTM},
 {FOLDS},
-train AS (SELECT d.* FROM dtm d JOIN folds f ON d.doc_id = f.doc_id WHERE fold <> 0),
-test AS (SELECT d.* FROM dtm d JOIN folds f ON d.doc_id = f.doc_id WHERE fold = 0),
-vocab AS (SELECT feature, count(*) AS df FROM train GROUP BY feature HAVING count(*) >= 2)"""
+cv AS (SELECT unnest(range(5))::INT AS cv_no),
+train_docs AS (SELECT cv_no, doc_id, label FROM folds JOIN cv ON fold <> cv_no),
+train AS (SELECT c.cv_no, d.* FROM dtm d JOIN train_docs c ON d.doc_id = c.doc_id),
+test AS (SELECT f.fold::INT AS cv_no, d.* FROM dtm d JOIN folds f ON d.doc_id = f.doc_id),
+vocab AS (SELECT cv_no, feature, count(*) AS df FROM train GROUP BY cv_no, feature HAVING count(*) >= 2)"""
 # a precomputed thesaurus: what follows a word, with its share
 THESAURUS = f"""{i.WORD_LISTS},
 word_places AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM word_lists),
@@ -27,12 +30,12 @@ thesaurus AS (SELECT feature, neighbour, n / sum(n) OVER (PARTITION BY feature)
 # both CTE lists start with the word lists
 BOTH = f"{THESAURUS},\n" + SPLIT.split(",\n", 1)[1]
 REPLACE = f"""{BOTH},
-usable AS (SELECT t.* FROM thesaurus t JOIN vocab v ON t.neighbour = v.feature),
-best AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY feature ORDER BY sim DESC, neighbour) <= {K}),
+usable AS (SELECT v.cv_no, t.* FROM thesaurus t JOIN vocab v ON t.neighbour = v.feature),
+best AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY cv_no, feature ORDER BY sim DESC, neighbour) <= {K}),
 entries AS (SELECT DISTINCT feature FROM thesaurus),
 flags AS (
   SELECT t.*, v.feature IS NOT NULL AS iv, e.feature IS NOT NULL AS it
-  FROM test t LEFT JOIN vocab v ON t.feature = v.feature LEFT JOIN entries e ON t.feature = e.feature)"""
+  FROM test t LEFT JOIN vocab v ON t.cv_no = v.cv_no AND t.feature = v.feature LEFT JOIN entries e ON t.feature = e.feature)"""
 
 
 def dtm(spark, d):
@@ -49,19 +52,19 @@ def thesaurus(spark, d, side: str = "r:", contexts=None):
 
 
 def parts(spark, d):
-    """(train, test, train docs, test docs) of the first of five stratified folds."""
-    folds = splits.first_fold_only(splits.stratified_kfold(i.doc_labels(spark, d), 5))
+    """(train, test, train docs, test docs) of five stratified folds, told apart by ``cv_no``."""
+    folds = materialize(splits.stratified_kfold(i.doc_labels(spark, d), 5), "folds")
     rows = materialize(dtm(spark, d), "counts")
-    docs = {r: folds.where(F.col("role") == r).select("doc_id", "label") for r in ("train", "test")}
-    return *[rows.join(docs[r].select("doc_id"), "doc_id", "left_semi") for r in ("train", "test")], docs["train"], docs["test"]
+    docs = {r: folds.where(F.col("role") == r).select(*BY, "doc_id", "label") for r in ("train", "test")}
+    return *[rows.join(docs[r].select(*BY, "doc_id"), "doc_id") for r in ("train", "test")], docs["train"], docs["test"]
 
 
 def train_vocab(train):
-    return vz.limit_df(vz.build_vocab(train), min_df=2)
+    return vz.limit_df(vz.build_vocab(train, BY), min_df=2, by=BY)
 
 
 def _rounded(df):
-    return df.select("doc_id", "feature", F.round("weight", 6).alias("weight"))
+    return df.select(*BY, "doc_id", "feature", F.round("weight", 6).alias("weight"))
 
 
 @query("doc_term_counts", with_ctes(i.DTM, select="SELECT * FROM dtm"))
@@ -118,81 +121,81 @@ def reindex_vocab(spark, d):
     return vz.reindex_vocab(materialize(indexed, "indexed"), F.col("df") > 1)
 
 
-@query("mark_iv_it", with_ctes(REPLACE, select="SELECT doc_id, iv, it, count(*) AS n, sum(weight) AS weight FROM flags GROUP BY ALL"))
+@query("mark_iv_it", with_ctes(REPLACE, select="SELECT cv_no, doc_id, iv, it, count(*) AS n, sum(weight) AS weight FROM flags GROUP BY ALL"))
 def mark_iv_it(spark, d):
     train, test, _, _ = parts(spark, d)
-    marked = vz.mark_iv_it(test, train_vocab(train), thesaurus(spark, d))
-    return marked.groupBy("doc_id", "iv", "it").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    marked = vz.mark_iv_it(test, train_vocab(train), thesaurus(spark, d), BY)
+    return marked.groupBy(*BY, "doc_id", "iv", "it").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 
 
-@query("base", with_ctes(SPLIT, select="SELECT t.doc_id, t.feature, t.weight FROM test t JOIN vocab v ON t.feature = v.feature"))
+@query("base", with_ctes(SPLIT, select="SELECT cv_no, doc_id, feature, weight FROM test SEMI JOIN vocab USING (cv_no, feature)"))
 def base(spark, d):
     train, test, _, _ = parts(spark, d)
-    return vz.apply_handler(test, train_vocab(train), "base").select("doc_id", "feature", "weight")
+    return vz.apply_handler(test, train_vocab(train), "base", by=BY).select(*BY, "doc_id", "feature", "weight")
 
 
 def _handled(kept: str, looked_up: str, sim: str = "sim") -> str:
     parts_sql = []
     if kept:
-        parts_sql.append(f"SELECT doc_id, feature, weight FROM flags WHERE {kept}")
+        parts_sql.append(f"SELECT cv_no, doc_id, feature, weight FROM flags WHERE {kept}")
     parts_sql.append(
-        f"SELECT f.doc_id, b.neighbour AS feature, f.weight * {sim} AS weight FROM flags f JOIN best b ON f.feature = b.feature WHERE {looked_up}"
+        f"SELECT cv_no, doc_id, neighbour AS feature, weight * {sim} AS weight FROM flags JOIN best USING (cv_no, feature) WHERE {looked_up}"
     )
     union = " UNION ALL ".join(parts_sql)
-    return with_ctes(REPLACE, select=f"SELECT doc_id, feature, round(sum(weight), 6) AS weight FROM ({union}) GROUP BY ALL")
+    return with_ctes(REPLACE, select=f"SELECT cv_no, doc_id, feature, round(sum(weight), 6) AS weight FROM ({union}) GROUP BY ALL")
 
 
 @query("signifier_signified", _handled("iv", "NOT iv AND it"))
 def signifier_signified(spark, d):
     train, test, _, _ = parts(spark, d)
-    return _rounded(vz.apply_handler(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K))
+    return _rounded(vz.apply_handler(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, by=BY))
 
 
 @query("signified_only", _handled("", "it"))
 def signified_only(spark, d):
     train, test, _, _ = parts(spark, d)
-    return _rounded(vz.apply_handler(test, train_vocab(train), "signified_only", thesaurus(spark, d), k=K))
+    return _rounded(vz.apply_handler(test, train_vocab(train), "signified_only", thesaurus(spark, d), k=K, by=BY))
 
 
 @query("sim_fn", _handled("iv", "NOT iv AND it", "1.0::DOUBLE"))
 def sim_fn(spark, d):
     train, test, _, _ = parts(spark, d)
-    return _rounded(vz.apply_handler(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, sim_fn=vz.one))
+    return _rounded(vz.apply_handler(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, sim_fn=vz.one, by=BY))
 
 
 @query(
     "sim_fn_custom",
     with_ctes(
         REPLACE,
-        select=f"""SELECT f.doc_id, b.neighbour AS feature, round(sum(f.weight * sqrt(b.sim)), 6) AS weight
-FROM flags f JOIN best b ON f.feature = b.feature WHERE NOT iv GROUP BY ALL""",
+        select="""SELECT cv_no, doc_id, neighbour AS feature, round(sum(weight * sqrt(sim)), 6) AS weight
+FROM flags JOIN best USING (cv_no, feature) WHERE NOT iv GROUP BY ALL""",
     ),
 )
 def sim_fn_custom(spark, d):
     train, test, _, _ = parts(spark, d)
     rules = {(True, True): vz.IGNORE, (True, False): vz.IGNORE, (False, True): vz.EXPAND, (False, False): vz.IGNORE}
-    return _rounded(vz.apply_handler(test, train_vocab(train), rules, thesaurus(spark, d), k=K, sim_fn=F.sqrt))
+    return _rounded(vz.apply_handler(test, train_vocab(train), rules, thesaurus(spark, d), k=K, sim_fn=F.sqrt, by=BY))
 
 
 @query("signified_random")
 def signified_random(spark, d):
     train, test, _, _ = parts(spark, d)
     vocab = materialize(train_vocab(train), "vocab")
-    drawn = vz.handle_random(test.select("doc_id", "feature", "weight"), vocab, K, 1, thesaurus(spark, d))
-    return drawn.groupBy("doc_id").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("features"))
+    drawn = vz.handle_random(test.select(*BY, "doc_id", "feature", "weight"), vocab, K, 1, thesaurus(spark, d), BY)
+    return drawn.groupBy(*BY, "doc_id").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("features"))
 
 
 @query(
     "expand",
     with_ctes(
         REPLACE,
-        select="""SELECT t.doc_id, b.neighbour AS feature, round(sum(t.weight * b.sim), 6) AS weight
-FROM test t JOIN best b ON t.feature = b.feature GROUP BY ALL""",
+        select="""SELECT cv_no, doc_id, neighbour AS feature, round(sum(weight * sim), 6) AS weight
+FROM test JOIN best USING (cv_no, feature) GROUP BY ALL""",
     ),
 )
 def expand(spark, d):
     train, test, _, _ = parts(spark, d)
-    return _rounded(vz.merge_duplicates(vz.expand(test, thesaurus(spark, d), train_vocab(train), K)))
+    return _rounded(vz.merge_duplicates(vz.expand(test, thesaurus(spark, d), train_vocab(train), K, by=BY), BY))
 
 
 @query(
@@ -209,7 +212,7 @@ def merge_duplicates(spark, d):
 @query("transform_test", _handled("iv", "NOT iv AND it"))
 def transform_test(spark, d):
     train, test, _, _ = parts(spark, d)
-    return _rounded(vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K))
+    return _rounded(vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, by=BY))
 
 
 # clusters of words: by their length and first letter
@@ -222,18 +225,18 @@ _CLUSTERS = "clusters AS (SELECT DISTINCT feature, (length(feature) * 31 + ascii
         SPLIT,
         _CLUSTERS,
         "named AS (SELECT feature, 'cluster' || cluster AS c FROM clusters)",
-        "seen AS (SELECT DISTINCT c FROM train t JOIN named n ON t.feature = n.feature)",
-        select="""SELECT t.doc_id, t.label, n.c AS feature, sum(t.weight) AS weight
-FROM test t JOIN named n ON t.feature = n.feature JOIN seen s ON n.c = s.c GROUP BY ALL""",
+        "seen AS (SELECT DISTINCT cv_no, c FROM train t JOIN named n ON t.feature = n.feature)",
+        select="""SELECT t.cv_no, t.doc_id, t.label, n.c AS feature, sum(t.weight) AS weight
+FROM test t JOIN named n ON t.feature = n.feature JOIN seen s ON n.c = s.c AND t.cv_no = s.cv_no GROUP BY ALL""",
     ),
 )
 def cluster_vectorize(spark, d):
     train, test, _, _ = parts(spark, d)
     vocab = train_vocab(train).where("df > 2")
     number = ((F.char_length("feature") * 31 + F.ascii("feature")) % 50).alias("cluster")
-    clusters = vocab.select("feature", number)
-    seen = vz.build_vocab(vz.cluster_vectorize(train, clusters))
-    return vz.cluster_vectorize(test, clusters, seen)
+    clusters = vocab.select("feature", number).distinct()
+    seen = vz.build_vocab(vz.cluster_vectorize(train, clusters, by=BY), BY)
+    return vz.cluster_vectorize(test, clusters, seen, BY)
 
 
 @query(
@@ -241,17 +244,17 @@ def cluster_vectorize(spark, d):
     with_ctes(
         REPLACE,
         "applied AS (SELECT doc_id, feature, weight FROM flags WHERE iv UNION ALL "
-        "SELECT f.doc_id, b.neighbour, f.weight * b.sim FROM flags f JOIN best b ON f.feature = b.feature WHERE NOT iv AND it)",
+        "SELECT doc_id, neighbour, weight * sim FROM flags JOIN best USING (cv_no, feature) WHERE NOT iv AND it)",
         "m AS (SELECT doc_id, feature, sum(weight) AS weight FROM applied GROUP BY ALL)",
         select="""SELECT f.doc_id AS id, '' AS target, round(coalesce(sum(m.weight), 0), 6) AS total_feat_weight,
   count(m.feature) AS nonzero_feats, round(coalesce(sum(m.weight) FILTER (m.feature = 'the'), 0), 2) AS "the",
   round(coalesce(sum(m.weight) FILTER (m.feature = 'de'), 0), 2) AS "de"
-FROM folds f LEFT JOIN m ON f.doc_id = m.doc_id WHERE f.fold = 0 GROUP BY f.doc_id""",
+FROM folds f LEFT JOIN m ON f.doc_id = m.doc_id GROUP BY f.doc_id""",
     ),
 )
 def dump_dtm(spark, d):
     train, test, _, test_docs = parts(spark, d)
-    matrix = vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, check=False)
+    matrix = vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, by=BY, check=False)
     rows = sinks.dump_long(matrix, test_docs).withColumn("target", F.lit(""))
     at = lambda f: F.round(F.coalesce(F.try_element_at("weights", F.lit(f)), F.lit(0.0)), 2).alias(f)
     return rows.select("id", "target", F.round("total_feat_weight", 6).alias("total_feat_weight"), "nonzero_feats", at("the"), at("de"))
@@ -338,14 +341,15 @@ def keep_docs_min_weight(spark, d):
     "drop_empty_features",
     with_ctes(
         SPLIT,
-        "heavy AS (SELECT doc_id FROM train GROUP BY doc_id HAVING sum(weight) >= 500)",
-        select="SELECT * FROM vocab WHERE feature IN (SELECT feature FROM train WHERE doc_id IN (FROM heavy))",
+        "heavy AS (SELECT cv_no, doc_id FROM train GROUP BY cv_no, doc_id HAVING sum(weight) >= 500)",
+        "used AS (SELECT DISTINCT cv_no, feature FROM train SEMI JOIN heavy USING (cv_no, doc_id))",
+        select="SELECT cv_no, feature, df FROM vocab SEMI JOIN used USING (cv_no, feature)",
     ),
 )
 def drop_empty_features(spark, d):
     train, _, train_docs, _ = parts(spark, d)
-    kept = sel.keep_docs_min_weight(train_docs, train, 500)
-    return sel.drop_empty_features(train_vocab(train), train.join(kept.select("doc_id"), "doc_id", "left_semi"))
+    kept = sel.keep_docs_min_weight(train_docs, train, 500, BY)
+    return sel.drop_empty_features(train_vocab(train), train.join(kept.select(*BY, "doc_id"), [*BY, "doc_id"], "left_semi"), BY)
 
 
 # ---------------------------------------------------------------- statistics
@@ -355,34 +359,35 @@ def drop_empty_features(spark, d):
     "coverage_counts",
     with_ctes(
         REPLACE,
-        select="""SELECT 0 AS cv_fold, 'ev' AS stage, feature, iv::INT AS "IV", it::INT AS "IT", sum(weight)::BIGINT AS "count"
+        select="""SELECT cv_no AS cv_fold, 'ev' AS stage, feature, iv::INT AS "IV", it::INT AS "IT", sum(weight)::BIGINT AS "count"
 FROM flags GROUP BY ALL""",
     ),
 )
 def coverage_counts(spark, d):
     train, test, _, _ = parts(spark, d)
-    return stats.coverage_counts(vz.mark_iv_it(test, train_vocab(train), thesaurus(spark, d)), "ev")
+    return stats.coverage_counts(vz.mark_iv_it(test, train_vocab(train), thesaurus(spark, d), BY), "ev")
 
 
 @query(
     "replacement_counts",
     with_ctes(
         REPLACE,
-        "looked AS (SELECT feature, sum(weight)::BIGINT AS n FROM flags WHERE NOT iv AND it GROUP BY feature)",
-        "avail AS (SELECT feature, count(*) AS a FROM usable GROUP BY feature)",
-        "placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY sim DESC, neighbour) AS r FROM best)",
-        select="""SELECT 0 AS cv_fold, 'ev' AS stage, l.feature, coalesce(a, 0)::INT AS available_replacements,
+        "looked AS (SELECT cv_no, feature, sum(weight)::BIGINT AS n FROM flags WHERE NOT iv AND it GROUP BY cv_no, feature)",
+        "avail AS (SELECT cv_no, feature, count(*) AS a FROM usable GROUP BY cv_no, feature)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY cv_no, feature ORDER BY sim DESC, neighbour) AS r FROM best)",
+        select="""SELECT l.cv_no AS cv_fold, 'ev' AS stage, l.feature, coalesce(a, 0)::INT AS available_replacements,
   coalesce(max(neighbour) FILTER (r = 1), '') AS neigh1, round(max(sim) FILTER (r = 1), 6) AS neigh1_sim,
   coalesce(max(neighbour) FILTER (r = 2), '') AS neigh2, round(max(sim) FILTER (r = 2), 6) AS neigh2_sim,
   coalesce(max(neighbour) FILTER (r = 3), '') AS neigh3, round(max(sim) FILTER (r = 3), 6) AS neigh3_sim, l.n AS "count"
-FROM looked l LEFT JOIN avail USING (feature) LEFT JOIN placed p ON l.feature = p.feature GROUP BY l.feature, a, l.n""",
+FROM looked l LEFT JOIN avail v ON l.cv_no = v.cv_no AND l.feature = v.feature
+  LEFT JOIN placed p ON l.cv_no = p.cv_no AND l.feature = p.feature GROUP BY l.cv_no, l.feature, a, l.n""",
     ),
 )
 def replacement_counts(spark, d):
     train, test, _, _ = parts(spark, d)
     vocab, near = train_vocab(train), thesaurus(spark, d)
-    looked = vz.mark_iv_it(test, vocab, near).where("not iv and it")
-    out = stats.replacement_counts(looked, near, vocab, K, "ev")
+    looked = vz.mark_iv_it(test, vocab, near, BY).where("not iv and it")
+    out = stats.replacement_counts(looked, near, vocab, K, "ev", BY)
     return out.select(*[F.round(c, 6).alias(c) if c.endswith("_sim") else c for c in out.columns])
 
 
@@ -390,17 +395,16 @@ def replacement_counts(spark, d):
     "survival_counts",
     with_ctes(
         SPLIT,
-        "heavy AS (SELECT doc_id FROM train GROUP BY doc_id HAVING sum(weight) >= 100)",
-        select="""SELECT 0 AS cv_no, (SELECT count(*) FROM folds WHERE fold <> 0) AS docs, (SELECT count(*) FROM heavy) AS docs_kept,
-  (SELECT count(DISTINCT feature) FROM train) AS features, (SELECT count(*) FROM vocab) AS features_kept,
-  (SELECT count(*) FROM train) AS entries""",
+        "heavy AS (SELECT cv_no, doc_id FROM train GROUP BY cv_no, doc_id HAVING sum(weight) >= 100)",
+        select="""SELECT cv_no, (SELECT count(*) FROM train_docs t WHERE t.cv_no = cv.cv_no) AS docs,
+  (SELECT count(*) FROM heavy t WHERE t.cv_no = cv.cv_no) AS docs_kept,
+  (SELECT count(DISTINCT feature) FROM train t WHERE t.cv_no = cv.cv_no) AS features,
+  (SELECT count(*) FROM vocab t WHERE t.cv_no = cv.cv_no) AS features_kept,
+  (SELECT count(*) FROM train t WHERE t.cv_no = cv.cv_no) AS entries FROM cv""",
     ),
 )
 def survival_counts(spark, d):
     train, _, train_docs, _ = parts(spark, d)
-    fold = lambda df: df.withColumn("cv_no", F.lit(0))
-    kept = sel.keep_docs_min_weight(train_docs, train, 100)
-    full = vz.build_vocab(train)
-    return stats.survival_counts(fold(train_docs), fold(kept), fold(full), fold(vz.limit_df(full, 2)), fold(train))
-
-
+    kept = sel.keep_docs_min_weight(train_docs, train, 100, BY)
+    full = vz.build_vocab(train, BY)
+    return stats.survival_counts(train_docs, kept, full, vz.limit_df(full, 2, by=BY), train, BY)
