@@ -370,8 +370,7 @@ def test_split_rules(spark):
         splits.split("kfold", train, test)
     with pytest.raises(ValueError):
         splits.split("test_set", train)
-    with pytest.raises(ValueError):
-        splits.kfold(docs, 101)
+    assert splits.kfold(docs, 101).select("cv_no").distinct().count() == 101
     rows = splits.split("subsampled_test_set", train, test, 2, 10, 1)
     sizes = {(r["cv_no"], r["role"], r["label"]): r["count"] for r in rows.groupBy("cv_no", "role", "label").count().collect()}
     assert sizes == {(c, role, lab): n for c in (0, 1) for lab in "01" for role, n in (("train", 5), ("test", 50))}
@@ -509,3 +508,15 @@ def test_chi2_at_large_weights(spark):
     dtm = spark.createDataFrame([("0", "f", 1e12 + 1000.0), ("1", "f", 1e12), ("0", "g", 4.0)], "doc_id string, feature string, weight double")
     scores = dict(sel.chi2_scores(dtm, docs).select("feature", "score").collect())
     assert abs(scores["f"] / (2 * 500.0**2 / (1e12 + 500)) - 1) < 1e-9 and scores["g"] == 4.0
+
+
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 2])
+def test_ranks_with_few_and_many_ranges(spark, monkeypatch, rows_per_range):
+    from wordfold.operators import ranking
+
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", rows_per_range)
+    keys = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("k"), (F.col("id") % 3).alias("g"))
+    want = {k: n for n, k in enumerate(sorted(r["k"] for r in keys.collect()))}
+    assert {r["k"]: r["rank"] for r in ranking.global_rank(keys, F.col("k")).collect()} == want
+    per_group = ranking.global_rank(keys, F.col("k"), ["g"]).groupBy("g").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.max("total").alias("t"))
+    assert all(r["r"] == list(range(r["t"])) for r in per_group.collect())

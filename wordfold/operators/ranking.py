@@ -14,25 +14,33 @@ from pyspark.sql import functions as F
 
 from wordfold.functions.text import let
 
-SPLITS = 255
+#: Least and most split points; between them there is one for each ROWS_PER_RANGE rows.
+SPLITS, MOST_SPLITS = 255, (1 << 16) - 1
+ROWS_PER_RANGE = 1_000_000
 
 
-def split_points(keyed: DataFrame, splits: int = SPLITS) -> DataFrame:
+def wanted_splits(keyed: DataFrame) -> Column:
+    """The number of split points for the rows of a table."""
+    by_rows = F.least(F.lit(MOST_SPLITS).cast("long"), F.floor(F.count(F.lit(1)) / ROWS_PER_RANGE))
+    return keyed.agg(F.greatest(F.lit(SPLITS).cast("long"), by_rows)).scalar()
+
+
+def split_points(keyed: DataFrame, splits: Column) -> DataFrame:
     """One row holding at most ``splits`` ordered keys.
 
     The key with the smallest second hash of every hash bucket is a uniform draw that
     depends on the data only, so a lost and recomputed task sees the same points.
     """
     return (
-        keyed.groupBy(F.pmod(F.xxhash64("__k"), F.lit(splits)).alias("__h"))
+        keyed.groupBy(F.pmod(F.xxhash64("__k"), splits).alias("__h"))
         .agg(F.min(F.struct(F.xxhash64("__k", F.lit(17)).alias("h"), F.col("__k").alias("k"))).alias("m"))
         .agg(F.sort_array(F.collect_list("m.k")).alias("__points"))
     )
 
 
-def _points_up_to(points: Column, key: Column, splits: int) -> Column:
+def _points_up_to(points: Column, key: Column) -> Column:
     """How many ordered points are not above the key, by halving."""
-    steps = [1 << b for b in reversed(range(splits.bit_length()))]
+    steps = [1 << b for b in reversed(range(MOST_SPLITS.bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
@@ -41,7 +49,7 @@ def _points_up_to(points: Column, key: Column, splits: int) -> Column:
 
 
 def global_rank(
-    df: DataFrame, key: Column, by: Sequence[str] = (), name: str = "rank", total: str = "total", splits: int = SPLITS
+    df: DataFrame, key: Column, by: Sequence[str] = (), name: str = "rank", total: str = "total", splits: int | None = None
 ) -> DataFrame:
     """Add the 0-based position of every row in key order, and the size of its group.
 
@@ -50,12 +58,12 @@ def global_rank(
     by = list(by)
     keyed = df.withColumn("__k", key)
     placed = (
-        keyed.select("*", split_points(keyed, splits).scalar().alias("__points"))
-        .withColumn("__range", let(F.col("__k"), lambda k: _points_up_to(F.col("__points"), k, splits)))
+        keyed.select("*", split_points(keyed, wanted_splits(keyed) if splits is None else F.lit(splits)).scalar().alias("__points"))
+        .withColumn("__range", let(F.col("__k"), lambda k: _points_up_to(F.col("__points"), k)))
         .drop("__points")
     )
     sizes = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    # at most splits + 1 rows per group
+    # at most MOST_SPLITS + 1 rows per group
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *by,
