@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from wordfold.llm import exact, graph, langid, mixing, pieces, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
+from wordfold.llm import exact, graph, langid, mixing, near, pieces, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
 from wordfold.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, pieces int, __extra string"
@@ -107,6 +107,57 @@ def test_simhash(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near(empty).count() == 0
 
 
+def _sets(texts):
+    found = {}
+    for d, t in texts:
+        w = words(lower(t))
+        found[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return found
+
+
+def _first_of_similar(texts):
+    """The ids that stay; texts are compared pair by pair.  Ids are different and not null."""
+    sets = _sets(texts)
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and (sets[a] == sets[b] or both and 5 * both >= 4 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d for d in sets if find(d) == d}
+
+
+@pytest.mark.parametrize("bucket", [near.BUCKET, 2])
+def test_near_copies(spark, docs, empty, monkeypatch, bucket):
+    """Texts edited in many places, of which two bits of a fingerprint show few; crowded shingles are met, too."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    rng = random.Random(8)
+    texts = [(d, t) for d, t in dict(_texts()).items() if d is not None]
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for k in range(40 if group == 0 else 3):
+            text = list(base)
+            for at in rng.sample(range(200), rng.choice((1, 2, 3, 4, 5, 8))):
+                text[at] = f"x{rng.randrange(3000)}"
+            texts.append((1000 + 100 * group + k, " ".join(text)))
+    want = _first_of_similar(texts)
+    kept = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
+    assert len(want) < len(texts) - 30
+    if bucket != 2:
+        assert near.drop_near_copies(docs).columns == docs.columns
+        assert near.drop_near_copies(empty).count() == 0
+
+
 def test_simhash_long_text():
     text = " ".join(random.Random(1).choice(WORDS) for _ in range(70_000))
     value = simhash.fingerprint_of(text.encode())

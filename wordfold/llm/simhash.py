@@ -15,6 +15,7 @@ other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,22 +48,30 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in order, in parts; one of the whole text if it is shorter, none without words."""
     words = text.lower().split()  # bytes split at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return
     if len(words) <= shingle:
-        value = xxh64_intdigest(b" ".join(words), seed)
-        return value - (1 << 64) if value >> 63 else value
-    total, n = np.zeros(64, np.int64), len(words) - shingle + 1
+        yield np.array([xxh64_intdigest(b" ".join(words), seed)], "<u8")
+        return
+    n = len(words) - shingle + 1
     for at in range(0, n, _CHUNK):
         part = words[at : min(at + _CHUNK, n) + shingle - 1]
         ends = np.cumsum([len(w) + 1 for w in part])
         line = b" ".join(part)
         first = [0, *ends[: len(part) - shingle].tolist()]
         last = (ends[shingle - 1 :] - 1).tolist()
-        total += _bit_counts(np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(first, last, strict=True)], "<u8"))
+        yield np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(first, last, strict=True)], "<u8")
+
+
+def fingerprint_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    total, n = np.zeros(64, np.int64), 0
+    for part in shingle_hashes(text, shingle, seed):
+        total += _bit_counts(part)
+        n += len(part)
     bits = np.packbits(2 * total > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
@@ -116,7 +125,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the smallest id, a null id only if there is no other."""
-    prints, roots = _classes(docs, id_col, text_col)
+    return first_of_each(docs, *_classes(docs, id_col, text_col), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay if each ``root`` keeps the first of its documents."""
     counted = materialize(prints.groupBy(rows.ID, rows.HASH, "fp").agg(F.count(F.lit(1)).alias("n")).join(roots, "fp"), "counted")
     order = F.struct(F.col(rows.ID).isNull().alias("none"), F.col(rows.ID).alias("id"), F.col(rows.HASH).alias("th"))
     firsts = materialize(
