@@ -339,6 +339,31 @@ def test_sentences(docs, empty):
     assert sentences.remove_repeated(empty).count() == 0
 
 
+def test_passages_inside_long_lines(spark):
+    """A passage without sentence ends that starts at another word of a line each time."""
+    rng = random.Random(4)
+    line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts, size = [], {}
+    for p in range(20):
+        passage = line(60)
+        texts.append((2 * p, " ".join(line(rng.randrange(1, 40)) + passage + line(30))))
+        texts.append((2 * p + 1, " ".join(line(rng.randrange(1, 40)) + passage + line(30))))
+        size[2 * p + 1] = set(passage)
+    for r in sentences.remove_repeated(spark.createDataFrame(texts, "doc_id bigint, text string")).select("doc_id", "text", "__found.*").collect():
+        gone = set(words(r["text"])) - set(words(r["kept"]))
+        assert gone <= size.get(r["doc_id"], set())
+        if r["doc_id"] % 2:
+            assert len(gone) >= sentences.WORDS, r["doc_id"]
+
+
+def test_pieces_of_sentences():
+    rng = random.Random(6)
+    for n in (17, 40, 3000):
+        for kinds in (1, 2, 5000):
+            cuts = sentences.pieces([b"w%d" % rng.randrange(kinds) for _ in range(n)])
+            assert cuts[-1] == n and all(0 < b - a <= sentences.LONGEST for a, b in zip([0, *cuts], cuts))
+
+
 def test_mix(docs, empty):
     rows = mixing.mix(docs).collect()
     again = mixing.mix(docs).collect()

@@ -1,6 +1,7 @@
 """Repeated passages, found as runs of consecutive sentences.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, at a line end, or after ``LONGEST`` words.  From every
+A sentence ends after ``.``, ``!`` or ``?`` before white space or at a line end.  One of more than ``LONGEST`` words is cut where its
+words say so (see ``pieces``), alike wherever a passage starts; pieces count as sentences.  From every
 sentence on, and up to every sentence, the shortest run of at least ``RUN`` sentences and ``WORDS`` words is hashed (words in lower case, A-Z
 only, white space aside).  Of equal runs in all texts the first stays, by id (null first) and position; sentences covered by any other are removed.
 
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,31 @@ from xxhash import xxh3_64_intdigest
 from wordfold.llm import rows
 from wordfold.storage import materialize
 
-RUN, WORDS, LONGEST = 3, 20, 16
+RUN, WORDS, LONGEST, NEAR = 3, 20, 16, 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def pieces(words: list[bytes]) -> list[int]:
+    """Where a sentence of more than ``LONGEST`` words is cut, with its end.
+
+    After each word whose hash, with the word before, is the least among the ``NEAR`` words on either side.  Such words are over ``NEAR``
+    apart; where the next is more than ``LONGEST`` away, cuts are ``LONGEST`` apart from the last one.
+    """
+    h = [crc32(b, crc32(a)) for a, b in zip(words, words[1:])]
+    h.insert(0, 1 << 32)
+    cuts, last, size = [], 0, len(words)
+    for i in range(NEAR, size - NEAR):
+        x = h[i]
+        if x < min(h[i - NEAR : i]) and x <= min(h[i + 1 : i + 1 + NEAR]):
+            cuts += range(last + LONGEST, i + 1, LONGEST)
+            if not cuts or cuts[-1] <= i:
+                cuts.append(i + 1)
+            last = i + 1
+    cuts += range(last + LONGEST, size, LONGEST)
+    cuts.append(size)
+    return cuts
+
+
 def sentences(text: bytes) -> tuple[list[int], list[bytes], list[int]]:
     """Ends of the sentences in bytes, their words in lower case joined by spaces, and the number of words.
 
@@ -47,17 +70,17 @@ def sentences(text: bytes) -> tuple[list[int], list[bytes], list[int]]:
             at = stop
             continue
         first = len(ends)
-        part: list[bytes] = []
         counts: list[int] = []
-        for word in words:
-            part.append(word)
-            if len(part) == LONGEST or word[-1] in b".!?":
-                contents.append(b" ".join(part))
-                counts.append(len(part))
-                part = []
-        if part:
-            contents.append(b" ".join(part))
-            counts.append(len(part))
+        stops = [k for k, word in enumerate(words, 1) if word[-1] in b".!?"]
+        if not stops or stops[-1] < len(words):
+            stops.append(len(words))
+        for a, b in zip([0, *stops], stops):
+            part = words[a:b]
+            done = 0
+            for k in pieces(part) if b - a > LONGEST else (b - a,):
+                contents.append(b" ".join(part[done:k]))
+                counts.append(k - done)
+                done = k
         if len(counts) == 1:
             ends.append(stop)
         else:  # where each word begins gives where the sentence before it ends
