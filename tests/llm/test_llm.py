@@ -380,6 +380,24 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.take_mixed(empty).count() == 0
 
 
+def test_mix_goes_on_behind_a_long_document(spark):
+    """Each source has documents of many sizes, and the first that does not fit is often a long one."""
+    rng = random.Random(2)
+    sizes = [(s, n) for s in range(6) for n in [300, 200, *(rng.choice((3, 5, 8, 13, 40)) for _ in range(100))]]
+    table = spark.createDataFrame([(i, "w " * n, f"s{s}") for i, (s, n) in enumerate(sizes)], "doc_id bigint, text string, source string")
+    rows = mixing.mix(table).join(table, "doc_id").collect()
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    assert {r["taken"] // r["size"] for r in rows} == {0, 1, 2}
+    for own in by_source.values():
+        short = own[0]["target"] - sum(r["taken"] for r in own)
+        least, most = min(r["taken"] // r["size"] for r in own), max(r["taken"] // r["size"] for r in own)
+        fitting = [r["size"] for r in own if most > least == r["taken"] // r["size"] and r["size"] <= short]
+        assert -1 <= short and (not fitting or short <= 0.001 * own[0]["target"] + 1)
+    assert mixing.take_mixed(table).selectExpr("sum(size(split(trim(text), ' ')))").first()[0] == sum(r["taken"] for r in rows)
+
+
 def test_targets_and_flow():
     got = mixing.targets({"a": 10, "b": 1000, "c": 990}, ["a", "b", "c"])
     assert got["a"] == 20 and abs(sum(got.values()) - 3000) < 1e-6 and got["b"] <= 2000

@@ -3,9 +3,10 @@
 A document may belong to several sources.  Documents are summed by membership pattern; a flow routes the words of
 patterns to the quotas of the sources, where each further pass over the same words costs more than the one before
 (convex), and as many words are routed as possible.  A pattern's words are then taken from its documents in an order drawn
-by a seeded hash: everybody gets the whole passes, the documents up to a threshold one more, and so does the largest document beyond it that still fits.
+by a seeded hash: everybody gets the whole passes, the documents up to a threshold one more.  Behind the one that does not
+fit any more, this goes on with the documents that fit into the words left, and the largest one that fits may end it.
 
-Only one row per pattern comes to the driver, and one threshold per pattern goes back, so documents are
+Only one row per pattern and step comes to the driver, and its thresholds go back, so documents are
 decided where they are read.  The threshold is found from sums over ``BUCKETS`` ranges of the hash and then inside a
 single range.  A driver that solves for more than ``MAX_PATTERNS`` patterns is refused with an error rather than run partly.
 
@@ -28,6 +29,8 @@ BUCKETS = 1 << 12
 MAX_PATTERNS = 200_000
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
+#: A pattern is filled up to this share of its words, if documents are left that fit.
+ENOUGH = 0.001
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -116,30 +119,69 @@ def sized(docs: DataFrame, id_col: str, text_col: str, members: Column, seed: in
     return docs.select(F.col(id_col).alias("__id"), pattern.alias("pattern"), size_of(text_col).alias("size"), draw(id_col, text_col, seed).alias("h"))
 
 
-def _cuts(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    """For each pattern the last hash whose documents get one more pass, so that they sum up to about ``words``."""
+_HERE = "size between least and fit and not ((h ^ shiftleft(1L, 63)) < (cut ^ shiftleft(1L, 63)) or (closed and h = cut))"
+
+
+def _cut(rows: DataFrame, extra: DataFrame) -> DataFrame:
+    """For each pattern the last hash whose documents get one more pass, so that they sum up to at most ``words``.
+
+    ``extra`` has the documents that are looked at: those beyond ``cut`` with ``least`` to ``fit`` words.  Comes back with the words left
+    (``room``) and the largest document beyond the new cut that fits into these.
+    """
+    extra = F.broadcast(extra)
+    rows = rows.join(extra, "pattern").where(_HERE).select("pattern", "size", "h")
     bucket = F.shiftrightunsigned("h", 64 - (BUCKETS.bit_length() - 1))
     sums = materialize(rows.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("n")), "hash-sums")
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-    placed = sums.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(extra), "pattern")
-    edge = placed.where("below < words and below + n >= words").select("pattern", "bucket", "below", "words")
+    placed = sums.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).join(extra, "pattern")
+    edge = placed.where("below <= words and below + n > words").select("pattern", "bucket", "below", "words")
     inside = rows.withColumn("bucket", bucket).join(F.broadcast(edge), ["pattern", "bucket"])
-    upto = Window.partitionBy("pattern").orderBy(F.expr("shiftrightunsigned(h, 1)"), "h").rowsBetween(Window.unboundedPreceding, 0)
-    summed = inside.withColumn("sum", F.col("below") + F.sum("size").over(upto))
-    taken = summed.where("sum <= words")
-    last = taken.groupBy("pattern").agg(F.max(F.struct(F.expr("shiftrightunsigned(h, 1)").alias("a"), "h")).alias("last"))
-    first = edge.select("pattern", "below", "words", F.shiftleft(F.col("bucket"), 64 - (BUCKETS.bit_length() - 1)).alias("start"))
-    reached = taken.groupBy("pattern").agg(F.max("sum").alias("sum"))
-    cuts = first.join(last, "pattern", "left").join(reached, "pattern", "left")
+    upto = Window.partitionBy("pattern").orderBy(F.expr("shiftrightunsigned(h, 1)"), "h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = inside.withColumn("sum", F.col("below") + F.sum("size").over(upto)).where("sum <= words")
+    last = taken.groupBy("pattern").agg(F.max(F.struct(F.expr("shiftrightunsigned(h, 1)").alias("a"), "h")).alias("last"), F.max("sum").alias("sum"))
+    start = F.shiftleft(F.col("bucket"), 64 - (BUCKETS.bit_length() - 1)).alias("start")
+    whole = sums.groupBy("pattern").agg(F.sum("n").alias("all")).join(extra, "pattern").select("pattern", "all", "words")
+    cuts = whole.join(edge.select("pattern", "below", start), "pattern", "left").join(last, "pattern", "left")
+    everything = F.col("start").isNull()  # all documents that are looked at fit
+    room = F.col("words") - F.when(everything, F.col("all")).otherwise(F.coalesce("sum", "below"))
     cuts = materialize(
         cuts.select(
-            "pattern", F.coalesce("last.h", "start").alias("cut"), F.col("last").isNotNull().alias("closed"), (F.col("words") - F.coalesce("sum", "below")).alias("room")
+            "pattern",
+            F.when(everything, F.lit(-1)).otherwise(F.coalesce("last.h", "start")).alias("cut"),
+            (everything | F.col("last").isNotNull()).alias("closed"),
+            room.alias("room"),
         ),
         "cuts",
     )
-    beyond = rows.join(F.broadcast(cuts), "pattern").where(~_before_cut("h") & F.col("size").between(1, F.col("room")))
+    beyond = rows.join(F.broadcast(cuts.withColumnsRenamed({"room": "fit"}).withColumn("least", F.lit(1))), "pattern").where(_HERE)
     filler = beyond.groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("filler"))
-    return cuts.join(filler, "pattern", "left").select("pattern", "cut", "closed", F.col("filler.h").alias("filler"))
+    return cuts.join(filler, "pattern", "left").select("pattern", "cut", "closed", "room", F.col("filler.size").alias("size"), F.col("filler.h").alias("filler"))
+
+
+def _cuts(rows: DataFrame, words: dict[tuple, int], enough: dict[tuple, int]) -> dict[tuple, tuple[list, int | None]]:
+    """For each pattern the steps (cut, closed, least, fit) and the filler that reach its words.
+
+    Each step goes on in the order of the hashes behind the document that did not fit, with those that fit into the words still left, until
+    none does or at most ``enough`` words are missing.  Of all steps, the one that comes closest together with its largest document beyond is the last.
+    """
+    spark = rows.sparkSession
+    steps: dict[tuple, list] = {p: [] for p in words}
+    best: dict[tuple, tuple] = {}
+    # the unsigned hash 0, not closed: all documents are beyond it
+    now = [(list(p), 0, False, 0, (1 << 63) - 1, n) for p, n in words.items()]
+    while now:
+        at = {tuple(x[0]): x for x in now}
+        found = _cut(rows, spark.createDataFrame(now, "pattern array<string>, cut bigint, closed boolean, least bigint, fit bigint, words bigint")).collect()
+        now = []
+        for r in found:
+            p = tuple(r["pattern"])
+            steps[p].append((r["cut"], r["closed"], *at[p][3:5]))
+            missing = r["room"] - (r["size"] or 0)
+            if p not in best or missing < best[p][0]:
+                best[p] = (missing, len(steps[p]), r["filler"])
+            if r["size"] and best[p][0] > enough[p]:
+                now.append((r["pattern"], r["cut"], r["closed"], 1, r["room"], r["room"]))
+    return {p: (steps[p][:n], filler) for p, (_, n, filler) in best.items()}
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, members: Column, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED):
@@ -159,23 +201,19 @@ def plan(docs: DataFrame, id_col: str, text_col: str, members: Column, weights=W
     flow = route(patterns, wanted, passes)
     routed = {p: sum(flow[p].values()) for p in patterns}
     whole = {p: min(routed[p] // n, passes) if n else 1 for p, n in patterns.items()}
-    left = [(list(p), routed[p] - whole[p] * n) for p, n in patterns.items() if n and routed[p] > whole[p] * n]
-    extra = spark.createDataFrame(left, "pattern array<string>, words bigint")
-    cuts = {tuple(r["pattern"]): (r["cut"], r["closed"], r["filler"]) for r in _cuts(rows, extra).collect()} if left else {}
-    table = [(list(p), whole[p], *cuts.get(p, (None, None, None)), [(s, sizes[s], wanted[s]) for s in p]) for p in patterns]
-    schema = "pattern array<string>, whole bigint, cut bigint, closed boolean, filler bigint, sources array<struct<source:string,source_size:bigint,target:double>>"
+    left = {p: routed[p] - whole[p] * n for p, n in patterns.items() if n and routed[p] > whole[p] * n}
+    cuts = _cuts(rows, left, {p: int(routed[p] * ENOUGH) for p in left})
+    table = [(list(p), whole[p], *cuts.get(p, (None, None)), [(s, sizes[s], wanted[s]) for s in p]) for p in patterns]
+    steps = "array<struct<cut:bigint,closed:boolean,least:bigint,fit:bigint>>"
+    schema = f"pattern array<string>, whole bigint, steps {steps}, filler bigint, sources array<struct<source:string,source_size:bigint,target:double>>"
     return rows, spark.createDataFrame(table, schema)
 
 
-def _before_cut(h: str) -> Column:
-    """Hashes are ordered as unsigned numbers."""
-    return F.expr(f"({h} ^ shiftleft(1L, 63)) < (cut ^ shiftleft(1L, 63)) or (closed and {h} = cut)")
-
-
-def copies(h: str = "h") -> Column:
-    """How often a document is taken, after its row was joined with the plan of its pattern."""
-    more = _before_cut(h) | F.coalesce(F.expr(f"{h} = filler"), F.lit(False))
-    return F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("cut").isNotNull() & more, 1).otherwise(0)
+def copies(h: str = "h", size: str = "size") -> Column:
+    """How often a document is taken, after its row was joined with the plan of its pattern.  Hashes are ordered as unsigned numbers."""
+    before = f"({h} ^ shiftleft(1L, 63)) < (s.cut ^ shiftleft(1L, 63)) or (s.closed and {h} = s.cut)"
+    more = F.expr(f"exists(steps, s -> {size} between s.least and s.fit and ({before}))") | F.coalesce(F.expr(f"{h} = filler"), F.lit(False))
+    return F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("steps").isNotNull() & more, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -192,7 +230,7 @@ def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` as the mix takes them: rows left out, once or repeated."""
     _, plans = plan(docs, id_col, text_col, F.array(F.col(source_col)))
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    marked = docs.withColumns({"__h": draw(id_col, text_col, SEED), "__pattern": F.array(F.col(source_col))}).alias("d")
+    marked = docs.withColumns({"__h": draw(id_col, text_col, SEED), "__size": size_of(text_col), "__pattern": F.array(F.col(source_col))}).alias("d")
     found = marked.join(F.broadcast(plans), F.col("d.__pattern").eqNullSafe(F.col("pattern")), "left")
-    times = found.withColumn("__times", copies("d.__h").cast("int")).where("__times > 0")
+    times = found.withColumn("__times", copies("d.__h", "d.__size").cast("int")).where("__times > 0")
     return times.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
