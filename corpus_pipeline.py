@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordfold.llm import exact, langid, mixing, near, pieces, queries
-from wordfold.storage import materialize
+from wordfold.llm import exact, langid, mixing, pieces, queries, simhash
+from wordfold.storage import scratch_path, temporary
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a similarity of 0.8 in shingles of five words: the smallest doc_id."""
-    return near.drop_near_copies(docs)
+    """One document of each component of texts whose fingerprints over three words differ in at most two bits: the smallest doc_id."""
+    return simhash.drop_near(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids (``pieces``), which decode to the text."""
+    """The documents with their piece ids (``pieces``, in place of a column of that name), which decode to the text."""
     path = queries.tokenizer_path("piece_bpe_32k.model")
-    columns = [c for c in docs.columns if c != "pieces"]
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "pieces"]
     return docs.select(*columns, pieces.encode(F.col("text"), path).alias("pieces"))
 
 
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        with temporary(spark):  # the stage's own tables go when its result is written
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
