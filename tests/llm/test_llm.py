@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from wordfold.llm import exact, graph, langid, mixing, near, pieces, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
+from wordfold.llm import exact, graph, langid, mixing, pieces, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
 from wordfold.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, pieces int, __extra string"
@@ -107,57 +107,6 @@ def test_simhash(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near(empty).count() == 0
 
 
-def _sets(texts):
-    found = {}
-    for d, t in texts:
-        w = words(lower(t))
-        found[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    return found
-
-
-def _first_of_similar(texts):
-    """The ids that stay; texts are compared pair by pair.  Ids are different and not null."""
-    sets = _sets(texts)
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if a < b and (sets[a] == sets[b] or both and 5 * both >= 4 * len(sets[a] | sets[b])):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d for d in sets if find(d) == d}
-
-
-@pytest.mark.parametrize("bucket", [near.BUCKET, 2])
-def test_near_copies(spark, docs, empty, monkeypatch, bucket):
-    """Texts edited in many places, of which two bits of a fingerprint show few; crowded shingles are met, too."""
-    import corpus_pipeline
-
-    monkeypatch.setattr(near, "BUCKET", bucket)
-    rng = random.Random(8)
-    texts = [(d, t) for d, t in dict(_texts()).items() if d is not None]
-    for group in range(12):
-        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
-        for k in range(40 if group == 0 else 3):
-            text = list(base)
-            for at in rng.sample(range(200), rng.choice((1, 2, 3, 4, 5, 8))):
-                text[at] = f"x{rng.randrange(3000)}"
-            texts.append((1000 + 100 * group + k, " ".join(text)))
-    want = _first_of_similar(texts)
-    kept = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), "")
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
-    assert len(want) < len(texts) - 30
-    if bucket != 2:
-        assert near.drop_near_copies(docs).columns == docs.columns
-        assert near.drop_near_copies(empty).count() == 0
-
-
 def test_simhash_long_text():
     text = " ".join(random.Random(1).choice(WORDS) for _ in range(70_000))
     value = simhash.fingerprint_of(text.encode())
@@ -442,14 +391,52 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_pipeline(spark, docs):
+CLASHING = "pattern whole steps filler sources h size cover edges pieces a.b __sha __id __th __packed __lang __found __maybe __word0 __keep __row kept doc".split()
+
+
+def test_pipeline(spark, docs, empty):
+    """Stage by stage against plain versions, with columns named like those that the operators add."""
     import corpus_pipeline
 
-    table = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = table
-        table = stage(spark, table, "")
-        assert table.columns == docs.columns, name
-        assert set(table.select("doc_id").collect()) <= set(before.select("doc_id").collect())
-    last = corpus_pipeline.STAGES[-1][1](spark, table, "")
-    assert last.count() == table.count()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "exact_dedup", "near_dedup", "source_mix", "piece_encoding"]
+    # copies that differ little: hundreds of words with one changed
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    near = [(300 + i, " ".join(base[: 100 * i] + ["changed"] + base[100 * i :])) for i in range(5)]
+    near = spark.createDataFrame([(d, t, "en", "b", 0, "x", 1, "y") for d, t in near], SCHEMA)
+    table = docs.unionByName(near).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    columns = table.columns
+
+    net = langid.fit(table)
+    found = langid.identify(table.select("doc_id", "text"), net).collect()
+    identified = stages["language_id"](spark, table, "").persist()
+    good = [r for r in found if r["lang_pred"] != "und" and r["score"] >= langid.LEAST_SCORE]
+    assert identified.columns == columns
+    assert count(identified.select("doc_id", "text").collect()) == count((r["doc_id"], r["text"]) for r in good)
+
+    distinct = stages["exact_dedup"](spark, table, "").persist()
+    last = {}
+    for d, t in table.select("doc_id", "text").collect():
+        last[lower(t)] = max(last.get(lower(t), -1), -1 if d is None else d)
+    assert distinct.columns == columns
+    assert count(distinct.select("doc_id").collect()) == count((None if d == -1 else d,) for d in last.values())
+
+    single = stages["near_dedup"](spark, distinct, "").persist()
+    texts = [(r["doc_id"], _print(r["text"])) for r in distinct.select("doc_id", "text").collect()]
+    firsts = {(c, f if c is None else 0) for _, f, c in _components(texts)}
+    assert single.columns == columns and len(firsts) < len(texts)
+    assert count(single.select("doc_id").collect()) == count((c,) for c, _ in firsts)
+
+    mixed = stages["source_mix"](spark, single, "").persist()
+    taken = mixing.mix(single).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int")).collect()
+    assert mixed.columns == columns
+    assert count(mixed.select("doc_id").where(F.length("text") > 0).collect()) >= count((d,) for d, n in taken for _ in range(n))
+    assert all(r["a.b"] == f"a.b{r['doc_id']}" for r in mixed.where("doc_id is not null").collect())
+
+    encoded = stages["piece_encoding"](spark, mixed, "").collect()
+    codec = pieces.codec(tokenizer_path("piece_bpe_32k.model"))
+    assert len(encoded) == mixed.count()
+    assert all(codec.decode(r["pieces"]) == (r["text"] or "") for r in encoded if "\u2581" not in (r["text"] or ""))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name

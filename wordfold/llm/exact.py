@@ -52,7 +52,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group; texts that occur once are not shuffled."""
+    """``docs`` with one row of each group; texts that occur once are not shuffled.  Columns may have any names."""
+    return rows.unpacked(_first_rows(rows.packed(docs, id_col, text_col), id_col, text_col))
+
+
+def _first_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = docs.withColumn("__sha", digest(F.col(text_col)))
     filt = _repeats(materialize(marked.select("__sha"), "digests"), "__sha")
     marked = bloom.probe(marked, F.col("__sha"), filt, "__maybe")

@@ -251,5 +251,6 @@ LEAST_SCORE = 0.35
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the texts that have no letter or no language with a probability of ``LEAST_SCORE``."""
-    found = identify(docs, fit(docs, id_col, text_col, lang_col), text_col, "__lang", "__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    net = fit(docs, id_col, text_col, lang_col)
+    found = identify(rows.packed(docs, text_col), net, text_col, "__lang", "__score")
+    return rows.unpacked(found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)))

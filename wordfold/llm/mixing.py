@@ -21,6 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordfold.llm import rows
 from wordfold.storage import materialize
 
 SEED = 20240607
@@ -227,10 +228,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix takes them: rows left out, once or repeated."""
+    """``docs`` as the mix takes them: rows left out, once or repeated.  Columns may have any names."""
     _, plans = plan(docs, id_col, text_col, F.array(F.col(source_col)))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    marked = docs.withColumns({"__h": draw(id_col, text_col, SEED), "__size": size_of(text_col), "__pattern": F.array(F.col(source_col))}).alias("d")
-    found = marked.join(F.broadcast(plans), F.col("d.__pattern").eqNullSafe(F.col("pattern")), "left")
-    times = found.withColumn("__times", copies("d.__h", "d.__size").cast("int")).where("__times > 0")
-    return times.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    docs = rows.packed(docs, id_col, text_col, source_col)
+    marked = docs.select(
+        rows.ROW, draw(id_col, text_col, SEED).alias("h"), size_of(text_col).alias("words"), F.array(F.col(source_col)).alias("of")
+    )
+    found = marked.join(F.broadcast(plans), F.col("of").eqNullSafe(F.col("pattern")), "left")
+    times = found.withColumn("times", copies("h", "words").cast("int")).where("times > 0")
+    return rows.unpacked(times.select(rows.ROW, F.explode(F.sequence(F.lit(1), F.col("times")))))

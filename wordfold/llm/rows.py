@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wordfold.llm import bloom
 
-ID, HASH = "__id", "__th"
+ID, HASH, ROW = "__id", "__th", "__packed"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,6 +22,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias(ID), F.xxhash64(text).alias(HASH), text.alias("__text"))
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Each row as one struct, and beside it only the columns that are worked on, so that no helper column meets one of the user's."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias(ROW), *[F.col(f"`{c}`").alias(c) for c in dict.fromkeys(columns)])
+
+
+def unpacked(docs: DataFrame) -> DataFrame:
+    return docs.select(f"{ROW}.*")
+
+
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 

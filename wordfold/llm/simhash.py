@@ -124,8 +124,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the smallest id, a null id only if there is no other."""
-    return first_of_each(docs, *_classes(docs, id_col, text_col), id_col, text_col)
+    """``docs`` with one document of each component: the smallest id, a null id only if there is no other.
+
+    Rows that agree in id and text are one document.  Columns may have any names.
+    """
+    docs = rows.packed(docs, id_col, text_col)
+    return rows.unpacked(first_of_each(docs, *_classes(docs, id_col, text_col), id_col, text_col))
 
 
 def first_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
