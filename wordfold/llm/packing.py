@@ -20,6 +20,7 @@ empty table gives an empty plan.  Other columns, whatever they are called, play
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -28,27 +29,25 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordfold.llm import rows
 from wordfold.operators.ranking import global_rank
 from wordfold.storage import materialize
 
 CAPACITY = 4096
 #: Words in one generation of a worker's cache, and the longest word it holds.
 CACHE, CACHED_BYTES = 300_000, 64
-#: Bytes of text whose unknown words are encoded together.
-_GROUP = 1 << 18
-#: White space ends a word in texts of this tokenizer, and these ASCII signs never share a token with the letters before them.
-_SIGNS = b".,;:!?*#$%&()[]{}\"-+=/@_~^"
-#: Words of ASCII and Latin-1 letters, which the tokenizer takes as one; and what ends like one, or in a digit.
+#: Bytes of text whose words are looked up together.
+_PART = 1 << 23
+#: Between these a word ends for the tokenizer, with or without a space.
+_BEFORE_SIGN = r"([a-zA-Z0-9])([.,])"
+#: Words of ASCII and Latin-1 letters, which the tokenizer takes as one.
 _LETTERS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_ENDS_PLAIN = re.compile(rb".*(?:[a-zA-Z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", re.DOTALL)
 #: More runs than this for one length are an error; there are fewer than sequences of different contents, a few for each length.
 _MOST_RUNS = (1 << 20) - 1
 
@@ -70,7 +69,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.openings = {a[:2] for a in added}
         vocab, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
@@ -83,66 +82,48 @@ class WordIds:
         return [np.array(e.ids, "<u4") for e in found]
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        plain = [w for w in words if w.isalpha() or _LETTERS.fullmatch(w)]
         out: dict[bytes, bytes] = {}
         if plain:
             # one call for all of them: each ends at a token that ends a word
             (ids,) = self._by_library([b" ".join(plain)])
             data, at = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()]
-            out.update(zip(plain, [data[a:b] for a, b in zip(at, at[1:])], strict=True))
+            out.update(zip(plain, [data[a:b] for a, b in itertools.pairwise(at)], strict=True))
         rest = [w for w in words if w not in out]
         out.update(zip(rest, [ids.tobytes() for ids in self._by_library(rest)], strict=True))
         return out
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that are not in the young generation."""
-        known: dict[bytes, bytes] = {}
-        ended: dict[bytes, tuple[bytes, bytes]] = {}
-        wanted: set[bytes] = set()
-        for word in words:
-            ids = self.old.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            core = word.rstrip(_SIGNS)
-            if len(core) < len(word) and _ENDS_PLAIN.fullmatch(core):
-                ended[word] = core, word[len(core) :]
-                wanted.update(ended[word])
-            else:
-                wanted.add(word)
-        new = []
-        for word in wanted:
-            ids = self.young.get(word, self.old.get(word))
-            if ids is None:
-                new.append(word)
-            else:
-                known[word] = ids
-        known.update(self._encode(new))
-        known.update({word: known[core] + known[signs] for word, (core, signs) in ended.items()})
-        if len(self.young) + len(known) > CACHE:
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self.young.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        before = [self.old.get(words[i]) for i in missing]
+        new = self._encode([words[i] for i, ids in zip(missing, before, strict=True) if ids is None])
+        for i, ids in zip(missing, before, strict=True):
+            found[i] = new[words[i]] if ids is None else ids
+        if len(self.young) + len(missing) > CACHE:
             self.young, self.old = {}, self.young
-        self.young.update((w, i) for w, i in known.items() if len(w) <= CACHED_BYTES)
-        return known
+        self.young.update([(words[i], found[i]) for i in missing if len(words[i]) <= CACHED_BYTES])
+        return found
+
+    def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and where those of each text begin (one more entry for the end).
 
-    def words(self, text: bytes) -> list[bytes]:
+        Each different word is looked up once.
+        """
+        special = pc.match_substring_regex(text, "|".join(map(re.escape, self.openings))) if self.openings else pa.scalar(False)
         # special strings are found before lower-casing, so such texts keep their case
-        return (text if any(o in text for o in self.openings) else text.lower()).split()
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and size < _GROUP:
-                group.append(self.words(texts[at]))
-                size += len(texts[at])
-                at += 1
-            missing = set(chain.from_iterable(group)).difference(self.young)
-            young, learnt = self.young, self._learn(missing) if missing else {}
-            if self.young is young and all(len(w) <= CACHED_BYTES for w in missing):
-                yield from (b"".join(map(young.__getitem__, words)) for words in group)
-            else:
-                yield from (b"".join([learnt[w] if w in learnt else young[w] for w in words]) for words in group)
+        text = pc.if_else(special, text, pc.ascii_lower(text))
+        # words with and without a full stop or comma behind them are one word to the cache
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(text, _BEFORE_SIGN, r"\1 \2"))
+        encoded = split.flatten().dictionary_encode()
+        found = self._of_words(encoded.dictionary.cast(pa.large_binary()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = np.frombuffer(b"".join(found), "<u4")
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(each, pa.uint32()))
+        at = split.offsets.to_numpy()
+        tokens = np.concatenate([[0], np.cumsum(sizes[encoded.indices.to_numpy()])])
+        return lists.take(encoded.indices).flatten().to_numpy(), tokens[at - at[0]]
 
 
 @lru_cache(maxsize=2)
@@ -150,6 +131,17 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _parts(text: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in slices of about ``_PART`` bytes; nulls are empty."""
+    text = pc.fill_null(text, "")
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy())])
+    low = 0
+    while low < len(text):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + _PART, side="right")) - 1)
+        yield text.slice(low, high - low)
+        low = high
+
+
 def piece_columns(text_col: str, path: str, capacity: int, end_id: int, with_ids: bool) -> Column:
     """An array of the pieces of a text: ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids`` (32-bit, little-endian)."""
     kind = "start:bigint,length:bigint,ids_crc32:bigint" + (",ids:binary" if with_ids else "")
@@ -158,16 +150,17 @@ def piece_columns(text_col: str, path: str, capacity: int, end_id: int, with_ids
     def run(text: pa.Array) -> pa.Array:
         encoder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         offsets, start, length, crc, ids = [0], [], [], [], []
-        for found in encoder.ids(rows.bytes_of(text)):
-            found += end
-            for at in range(0, len(found), 4 * capacity):
-                part = found[at : at + 4 * capacity]
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                if with_ids:
-                    ids.append(part)
-            offsets.append(len(start))
+        for part in _parts(text):
+            tokens, at = encoder.ids(part)
+            for a, b in itertools.pairwise(at.tolist()):
+                for first in range(a, b + 1, capacity):  # the end token is one more
+                    piece = tokens[first : min(first + capacity, b)].tobytes() + (end if first + capacity > b else b"")
+                    start.append(first - a)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    if with_ids:
+                        ids.append(piece)
+                offsets.append(len(start))
         columns = [pa.array(c, pa.int64()) for c in (start, length, crc)] + ([pa.array(ids, pa.binary())] if with_ids else [])
         names = ["start", "length", "ids_crc32", "ids"][: len(columns)]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names))
@@ -367,7 +360,8 @@ def pieces(
 ) -> DataFrame:
     """The pieces of every document: id, ``piece`` (from 0), ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
     cut = docs.select(F.col(f"`{id_col}`").alias("id"), piece_columns(text_col, path, capacity, end_id, with_ids).alias("pieces"))
-    each = cut.select("id", F.posexplode("pieces").alias("piece", "p"))
+    # every text has a piece; the outer form keeps Spark from testing for that, with a second run of the function
+    each = cut.select("id", F.posexplode_outer("pieces").alias("piece", "p"))
     return each.select(F.col("id").alias(id_col), "piece", "p.*")
 
 
