@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import LETTERS_THESAURUS, PETS_THESAURUS, SCHEMA, lines, matrix, sentence
 from wordfold.functions import grammar as g, text as tx
 from wordfold.operators import (
-    blocks, classify as cl, features as ft, metrics as mt, neighbours as nb, ranking, reduce as rd, select as sel, splits, stats, tokens as tk, vectorize as vz,
+    blocks, classify as cl, features as ft, metrics as mt, neighbours as nb, ranking, reduce as rd, search, select as sel, splits, stats, tokens as tk, vectorize as vz,
 )
 from wordfold.sources import vectors as ve
 
@@ -250,12 +250,12 @@ def brute(q, v, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
-def test_block_search_equals_brute_force(spark, metric, monkeypatch):
+def test_search_equals_brute_force(spark, metric):
     rng = np.random.default_rng(5)
     # one context is in every vector: the hot one
     data = {f"v{i:02d}": {"hot": 1.0, **{f"c{rng.integers(40)}": float(rng.integers(1, 6)) for _ in range(6)}} for i in range(60)}
     df = spark.createDataFrame([(n, c, w) for n, x in data.items() for c, w in x.items()], "name string, ctx string, weight double")
-    got = blocks.block_topk(df, df, 5, metric, exclude_self=metric == "cosine", rows_per_block=13).collect()
+    got = search.nearest(df, df, 5, metric, exclude_self=metric == "cosine", rows_per_block=13).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r["query"], -r["score"], r["item"])):
         found.setdefault(r["query"], []).append(r["item"])

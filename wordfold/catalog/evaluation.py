@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wordfold.catalog import inputs as i
 from wordfold.catalog.matrices import dtm
 from wordfold.catalog.registry import query, with_ctes
-from wordfold.operators import classify as cl, metrics as mt, select as sel, splits, vectorize as vz
+from wordfold.operators import classify as cl, crossval as cv, metrics as mt, select as sel, splits, vectorize as vz
 from wordfold.storage import materialize
 
 BY = ["cv_no"]
@@ -94,6 +94,11 @@ priors AS (SELECT cv_no, label, docs, ln(docs / sum(docs) OVER (PARTITION BY cv_
 sizes AS (SELECT cv_no, count(*) AS v FROM vocab GROUP BY cv_no)"""
 
 
+def folded(spark, d, k: int = 5):
+    """The matrix and the fold of each document; no copies for each fold."""
+    return cv.Folded.of(dtm(spark, d), i.doc_labels(spark, d), k)
+
+
 def fold_parts(spark, d, docs=None, k: int = 5):
     """(train, train docs, test, test docs, vocabulary) of all folds, keyed by cv_no."""
     # read by several branches below, so written once
@@ -142,8 +147,7 @@ def most_common_label(spark, d):
 
 @query("multinomial_nb", with_ctes(_FOLDED, *_nb_sql("weight"), select=_PREDICTED))
 def multinomial_nb(spark, d):
-    train, train_docs, test, test_docs, vocab = fold_parts(spark, d)
-    return cl.multinomial_nb(train, train_docs, test, test_docs, 0.1, vocab, BY)
+    return cv.multinomial_nb(folded(spark, d), 0.1)
 
 
 @query(
@@ -157,8 +161,7 @@ def multinomial_nb(spark, d):
     ),
 )
 def multinomial_nb_binary(spark, d):
-    train, train_docs, test, test_docs, vocab = fold_parts(spark, d)
-    return cl.multinomial_nb_binary(train, train_docs, test, test_docs, 0.1, 1.0, vocab, BY)
+    return cv.multinomial_nb(folded(spark, d), 0.1, threshold=1.0)
 
 
 @query(
@@ -180,8 +183,7 @@ def multinomial_nb_binary(spark, d):
     ),
 )
 def bernoulli_nb(spark, d):
-    train, train_docs, test, test_docs, vocab = fold_parts(spark, d)
-    return cl.bernoulli_nb(train, train_docs, test, test_docs, 0.1, vocab, BY)
+    return cv.bernoulli_nb(folded(spark, d), 0.1)
 
 
 @query(
@@ -228,11 +230,9 @@ _TWO_SQL = [
 
 
 def two_classifiers(spark, d):
-    train, train_docs, test, test_docs, vocab = fold_parts(spark, d)
-    found = cl.run_classifiers(
-        {"multinomial_nb": {"alpha": 0.1}, "most_common_label": True, "bernoulli_nb": False}, train, train_docs, test, test_docs, vocab, BY
-    )
-    return found.join(test_docs.select(*BY, "doc_id", "label"), [*BY, "doc_id"])
+    matrix = folded(spark, d)
+    found = cv.run_classifiers({"multinomial_nb": {"alpha": 0.1}, "most_common_label": True, "bernoulli_nb": False}, matrix)
+    return found.join(matrix.roles("test"), [*BY, "doc_id"])
 
 
 @query("run_classifiers", with_ctes(_FOLDED, *_TWO_SQL, select="SELECT classifier, cv_no, doc_id, label, prediction FROM judged"))
@@ -310,9 +310,9 @@ def scores_per_fold(spark, d):
     ),
 )
 def training_set_scores(spark, d):
-    train, train_docs, _, _, vocab = fold_parts(spark, d)
-    found = cl.run_classifiers({"multinomial_nb": {"alpha": 0.1}}, train, train_docs, train, train_docs, vocab, BY)
-    judged = found.join(train_docs.select(*BY, "doc_id", "label"), [*BY, "doc_id"])
+    matrix = folded(spark, d)
+    found = cv.run_classifiers({"multinomial_nb": {"alpha": 0.1}}, matrix, training=True)
+    judged = found.join(matrix.roles("train"), [*BY, "doc_id"])
     return mt.scores_per_fold(judged).withColumn("score", F.round("score", 6))
 
 

@@ -10,7 +10,7 @@ from wordfold.catalog.registry import query, with_ctes
 from wordfold.operators import neighbours as nb, reduce as rd, vectorize as vz
 from wordfold.storage import materialize
 
-MIN_DF = 20  # entries are compared with vocabulary entries of this document frequency
+MIN_DF = 20  # all words are looked up among vocabulary entries of this document frequency
 
 
 def _sim(df, *extra):
@@ -35,28 +35,31 @@ _SPARSE = f"""{i.VECTORS},
 dtm AS (SELECT doc_id, w AS feature, count(*) AS weight FROM word_places GROUP BY ALL),
 terms AS (SELECT feature FROM dtm GROUP BY feature HAVING count(*) >= {MIN_DF}),
 own AS (SELECT v.* FROM vectors v JOIN terms t ON v.feature = t.feature),
-norms AS (SELECT feature, sqrt(sum(weight * weight)) AS norm FROM own GROUP BY feature),
+norms AS (SELECT feature, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY feature),
 dots AS (SELECT a.feature, b.feature AS neighbour, sum(a.weight * b.weight) AS dot
-  FROM own a JOIN own b ON a.ctx = b.ctx AND a.feature <> b.feature GROUP BY ALL),
+  FROM vectors a JOIN own b ON a.ctx = b.ctx AND a.feature <> b.feature GROUP BY ALL),
 sims AS (SELECT d.feature, d.neighbour, round(dot / sqrt((x.norm * x.norm) * (y.norm * y.norm)), 9) AS sim
   FROM dots d JOIN norms x ON d.feature = x.feature JOIN norms y ON d.neighbour = y.feature)"""
 
 
 def sparse_neighbours(spark, d, k: int = 1):
     vocab = vz.limit_df(vz.build_vocab(dtm(spark, d)), MIN_DF)
-    return nb.knn_cosine(i.context_vectors(spark, d), k, vocab, vocab)
+    return nb.knn_cosine(i.context_vectors(spark, d), k, vocab)
 
 
 @query(
     "knn_cosine_sparse",
     with_ctes(
         _SPARSE,
-        select="""SELECT feature, neighbour, round(sim, 6) AS sim FROM sims
+        select="""SELECT feature, neighbour, floor((round(sim * 1e9)::BIGINT + 500) / 1000) / 1e6 AS sim FROM sims
 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY sim DESC, neighbour) <= 8""",
     ),
 )
 def knn_cosine_sparse(spark, d):
-    return _sim(sparse_neighbours(spark, d))
+    # from nine digits to six in whole numbers, since some of so many similarities lie between two of six digits
+    found = sparse_neighbours(spark, d)
+    digits = F.round(F.col("sim") * 1e9).cast("bigint")
+    return found.select("feature", "neighbour", (F.floor((digits + 500) / 1000) / 1e6).alias("sim"))
 
 
 @query("sim_threshold", with_ctes(THESAURUS, select="SELECT feature, neighbour, round(sim, 6) AS sim FROM thesaurus WHERE sim >= 0.3"))

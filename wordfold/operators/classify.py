@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from wordfold.operators.blocks import block_topk
+from wordfold.operators.search import nearest
 from wordfold.operators.select import labelled
 from wordfold.operators.vectorize import index_vocab
 from wordfold.storage import materialize
@@ -26,7 +26,7 @@ SCORE_DIGITS = 8  # scores that differ only in rounding noise are ties
 
 
 def _attach(df: DataFrame, per_fold: DataFrame, by: list[str]) -> DataFrame:
-    """Add the columns of a table that has one row per fold ."""
+    """Add the columns of a table that has one row per fold."""
     if by:
         return df.join(F.broadcast(per_fold), by)
     for name in per_fold.columns:
@@ -210,31 +210,19 @@ def knn_classify(
     test_docs: DataFrame,
     k: int = 1,
     by: Sequence[str] = (),
+    rows_per_block: int | None = None,
+    trace: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Majority label of the k nearest training documents, Euclidean distance.
 
-    Ties between distances go to the smaller doc_id, between votes to the smaller label.
+    Ties between distances go to the smaller doc_id, between votes to the smaller label.  A document without features is the
+    zero vector, not missing.  Documents that are equal in several folds are compared once; see `search.nearest`.
     """
     by = list(by)
-    if "embedding" in train.columns:
-        side = lambda rows, docs: rows.select(*by, F.col("doc_id").alias("name"), F.col("embedding").alias("vec"))
-    else:
-
-        def side(rows: DataFrame, docs: DataFrame) -> DataFrame:
-            # a document without features is the zero vector, not missing
-            entries = rows.select(*by, "doc_id", F.col("feature").alias("ctx"), "weight")
-            return (
-                docs.select(*by, "doc_id")
-                .join(entries, [*by, "doc_id"], "left")
-                .select(
-                    *by,
-                    F.col("doc_id").alias("name"),
-                    F.coalesce("ctx", F.lit("")).alias("ctx"),
-                    F.coalesce("weight", F.lit(0.0)).alias("weight"),
-                )
-            )
-
-    near = block_topk(side(test, test_docs), side(train, train_docs), k, "euclidean", by, exclude_self=False)
+    value = [F.col("embedding").alias("vec")] if "embedding" in train.columns else [F.col("feature").alias("ctx"), "weight"]
+    rows = lambda t: t.select(*by, F.col("doc_id").alias("name"), *value)
+    members = lambda d: d.select(*by, F.col("doc_id").alias("name"))
+    near = nearest(rows(test), rows(train), k, "euclidean", by, False, members(test_docs), members(train_docs), rows_per_block, trace)
     votes = (
         near.join(train_docs.select(*by, F.col("doc_id").alias("item"), "label"), [*by, "item"])
         .groupBy(*by, "query", "label")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordfold.functions import grammar as g
-from wordfold.operators.blocks import ROWS_PER_BLOCK, block_topk
 from wordfold.operators.ranking import top_k
+from wordfold.operators.search import nearest
 
 CANDIDATES_PER_NEIGHBOUR = 8  # fixed value: spare candidates so that overlap filtering still leaves k
 
@@ -27,26 +27,18 @@ def knn_cosine(
     candidates: int = CANDIDATES_PER_NEIGHBOUR,
     by: Sequence[str] = (),
     rows_per_block: int | None = None,
+    trace: list[DataFrame] | None = None,
 ) -> DataFrame:
     """The ``candidates * k`` nearest vocabulary entries of every query entry, exactly.
 
-    Both sides are cut down to the entries that matter before anything is compared.
+    With ``by`` the vocabulary and the queries are those of each fold; a pair of entries is compared once for all of them.
     """
-    dense = "embedding" in vectors.columns
-    value = [F.col("embedding").alias("vec")] if dense else ["ctx", "weight"]
-    rows = rows_per_block or (2 * ROWS_PER_BLOCK if dense else ROWS_PER_BLOCK)
-
-    def side(entries: DataFrame | None) -> DataFrame:
-        if entries is None:
-            return vectors.select(F.col("feature").alias("name"), *value)
-        if by:
-            chosen = vectors.join(entries.select(*by, "feature").distinct(), "feature")
-        else:
-            chosen = vectors.join(entries.select("feature"), "feature", "left_semi")
-        return chosen.select(*by, F.col("feature").alias("name"), *value)
-
-    items = side(vocab)
-    found = block_topk(items if queries is vocab else side(queries), items, k * candidates, "cosine", by, not include_self, rows)
+    value = [F.col("embedding").alias("vec")] if "embedding" in vectors.columns else ["ctx", "weight"]
+    rows = vectors.select(F.col("feature").alias("name"), *value)
+    members = lambda entries: None if entries is None else entries.select(*by, F.col("feature").alias("name"))
+    found = nearest(
+        rows, rows, k * candidates, "cosine", by, not include_self, members(queries), members(vocab), rows_per_block, trace
+    )
     return found.select(
         *by, F.col("query").alias("feature"), F.col("item").alias("neighbour"), F.col("score").alias("sim")
     )
