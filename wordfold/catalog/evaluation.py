@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wordfold.catalog import inputs as i
 from wordfold.catalog.matrices import dtm
 from wordfold.catalog.registry import query, with_ctes
-from wordfold.operators import classify as cl, crossval as cv, metrics as mt, select as sel, splits, vectorize as vz
+from wordfold.operators import classify as cl, crossval as cv, linear as ln, metrics as mt, select as sel, splits, vectorize as vz
 from wordfold.storage import materialize
 
 BY = ["cv_no"]
@@ -208,10 +208,33 @@ def knn_classify(spark, d):
     return cl.knn_classify(train, train_docs, test, test_docs, 3, BY)
 
 
-@query("logistic_regression")
+_OPTIMAL = with_ctes(
+    i.QDOCS,
+    select="SELECT cv_no::INT AS cv_no, last AS label, n AS documents, true AS optimal FROM (SELECT count(*) AS n, max(label) AS last FROM qdocs), range(5) r(cv_no)",
+)
+
+
+def _fitted(spark, d, loss):
+    """All five folds of the documents with a quality label, at the library's defaults."""
+    docs = i.quality_docs(spark, d)
+    folds = materialize(splits.stratified_kfold(docs, 5), "folds")
+    rows = materialize(dtm(spark, d).drop("label").join(docs.select("doc_id"), "doc_id", "left_semi"), "counts")
+    return ln.fit(rows, docs, folds.select(*BY, "doc_id", "role"), loss)
+
+
+def _optimum(fitted):
+    """For each fold the predictions made, and whether no entry of the gradient over all training rows is far from zero.
+
+    The objective is convex, so a gradient of zero says that no other coefficients are better.
+    """
+    made = fitted.predictions().select("doc_id").distinct().agg(F.count(F.lit(1)).alias("documents"))
+    slopes = ln.largest_gradient(fitted)
+    return slopes.select(*BY, "label", made.scalar().alias("documents"), (F.col("largest_gradient") < 1e-3).alias("optimal"))
+
+
+@query("logistic_regression", _OPTIMAL)
 def logistic_regression(spark, d):
-    train, train_docs, test, test_docs, vocab = (materialize(x, "lr") for x in fold_parts(spark, d, i.quality_docs(spark, d), 3))
-    return cl.logistic_regression(train, train_docs, test, test_docs, vocab, 1.0, BY, max_iter=20)
+    return _optimum(_fitted(spark, d, "log"))
 
 
 @query("linear_svc")
