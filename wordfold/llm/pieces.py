@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 SPACE = "\u2581"
 #: Entries of each of the two generations of a worker's cache, and the longest word it holds.
-CACHE, CACHED_CHARS = 150_000, 64
+CACHE, CACHED_CHARS = 60_000, 64
+#: Texts taken out of a column at once.
+_TEXTS = 128
 #: Longer texts are taken apart one word at a time instead of all at once.
 _LONG = 1 << 20
 UNKNOWN_PENALTY = 10.0
@@ -155,7 +157,12 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        return _lists([c.encode(t or "") for t in texts.to_pylist()])
+        sizes, ids = [0], array("i")
+        for at in range(0, len(texts), _TEXTS):
+            for t in texts.slice(at, _TEXTS).to_pylist():
+                ids.extend(c.encode(t or ""))
+                sizes.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
 
     return run(text)
 

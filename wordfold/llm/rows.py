@@ -5,6 +5,8 @@ A document is known by its id and a hash of its text.  Rows that agree in both a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from wordfold.llm import bloom
 
 ID, HASH, ROW = "__id", "__th", "__packed"
+#: Texts taken out of a column at once.
+_TEXTS = 128
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,5 +81,7 @@ def buffer_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), at
 
 
-def bytes_of(text: pa.Array) -> list[bytes]:
-    return pc.fill_null(text.cast(pa.large_binary()), b"").to_pylist()
+def bytes_of(text: pa.Array) -> Iterator[bytes]:
+    """The texts of a column one after another, nulls as empty ones; few of them are held as Python objects at once."""
+    for at in range(0, len(text), _TEXTS):
+        yield from pc.fill_null(text.slice(at, _TEXTS).cast(pa.large_binary()), b"").to_pylist()
