@@ -231,11 +231,21 @@ def test_wide_dumps_have_every_column(spark, pets):
     assert sinks.dump_dtm(rows, pets[0].select("doc_id", "label"), names).columns[4:] == names
 
 
-@pytest.mark.parametrize("n", [3, 900])
-def test_ranks_are_trimmed_before_the_shuffle(spark, n):
-    near = spark.createDataFrame([(0, "a", "b", 0.5)], "source_id int, feature string, neighbour string, sim double")
-    for df in (nb.neighbour_strategy(near, n), nb.combine_neighbours(near, per_source=n, k=n)):
-        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("n", [3, 2000])
+def test_a_hot_feature_is_ranked_in_parts(spark, n):
+    rows = [(s, "hot", f"n{i:05d}", 1 / (1 + i * 7919 % 3001)) for s in (0, 1) for i in range(3000)] + [(0, "cold", "x", 0.5), (1, "cold", "x", 0.4)]
+    near = spark.createDataFrame(rows, "source_id int, feature string, neighbour string, sim double")
+    linear = nb.neighbour_strategy(near.where("source_id = 0").drop("source_id"), n)
+    combined = nb.combine_neighbours(near, per_source=n, k=n)
+    for df in (linear, combined):
+        assert "__part" in df._jdf.queryExecution().executedPlan().toString()
+    best = sorted((r[1:] for r in rows if r[0] == 0), key=lambda r: (-r[2], r[1]))
+    want = [x[1] for x in best if x[0] == "hot"][:n]
+    for df in (linear, combined):
+        got = {r["rank"]: r["neighbour"] for r in df.where("feature = 'hot'").select("rank", "neighbour").collect()}
+        assert [got[i] for i in range(len(got))] == want
+    everything = nb.combine_neighbours(near).where("feature = 'hot'").select("rank", "neighbour").collect()
+    assert [r["neighbour"] for r in sorted(everything)] == [x[1] for x in best if x[0] == "hot"]
 
 
 def test_selection_and_pruning(spark, pets):

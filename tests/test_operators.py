@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import LETTERS_THESAURUS, PETS_THESAURUS, SCHEMA, lines, matrix, sentence
-from wordfold.functions import grammar as g, text as tx
+from wordfold.functions import draws, grammar as g, text as tx
 from wordfold.operators import (
     blocks, classify as cl, features as ft, metrics as mt, neighbours as nb, ranking, reduce as rd, search, select as sel, splits, stats, tokens as tk, vectorize as vz,
 )
@@ -303,11 +304,21 @@ def test_skipping_strategy(spark):
 def test_get_vector_and_noise(spark):
     vectors = ve.parse_vectors(lines(spark, "a/N\tt:t1\t1\tt:t2\t2\tamod:c\t2\tt:t3\t3\nb/V\tt:t4\t1"))
     asked = spark.createDataFrame([("a/N",), ("zzz/N",)], "feature string")
-    got = nb.get_vector(vectors, asked).collect()
-    assert [(r["feature"], [tuple(e) for e in r["vector"]]) for r in got] == [("a/N", [("amod:c", 2.0), ("t:t1", 1.0), ("t:t2", 2.0), ("t:t3", 3.0)])]
+    got = sorted(map(tuple, nb.get_vector(vectors, asked).collect()))
+    assert got == [("a/N", 0, "amod:c", 2.0), ("a/N", 1, "t:t1", 1.0), ("a/N", 2, "t:t2", 2.0), ("a/N", 3, "t:t3", 3.0)]
     noisy = {r["ctx"]: r["weight"] for r in nb.add_noise(vectors, 0.5, 1).collect()}
     plain = {r["ctx"]: r["weight"] for r in vectors.collect()}
     assert all(0 <= noisy[c] - plain[c] < 0.5 * 2 for c in plain) and noisy != plain
+    dense = spark.createDataFrame([("zero", [0.0, 0.0]), ("x", [2.0, 0.0]), ("none", [])], "feature string, embedding array<double>")
+    out = {r["feature"]: r["embedding"] for r in nb.add_noise(dense, 0.5, 1).collect()}
+    assert out["zero"] == [0.0, 0.0] and out["none"] == [] and out["x"][1] == 0.0 and 2.0 <= out["x"][0] <= 3.0
+
+
+def test_draws_are_the_beginning_of_a_digest(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None), (None, 3)], "k string, n int")
+    got = rows.select(draws.draw(7, "k", "n"), draws.share(7, "k", "n")).collect()
+    want = [int(hashlib.md5(f"7:{k}".encode()).hexdigest()[:15], 16) for k in ("a:1", "b:", ":3")]
+    assert [tuple(r) for r in got] == [(w, float(w) / 16.0**15) for w in want]
 
 
 # ------------------------------------------------------------------ selection

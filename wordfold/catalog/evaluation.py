@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordfold.catalog import inputs as i
 from wordfold.catalog.matrices import dtm
 from wordfold.catalog.registry import query, with_ctes
+from wordfold.functions.draws import draw_sql
 from wordfold.operators import classify as cl, crossval as cv, linear as ln, metrics as mt, select as sel, splits, vectorize as vz
 from wordfold.storage import materialize
 
@@ -56,15 +57,16 @@ def predefined_split(spark, d):
     "subsampled_split",
     with_ctes(
         _GIVEN,
-        "sizes AS (SELECT label, round_even(count(*) * 50 / (SELECT count(*) FROM docs), 0)::BIGINT AS n FROM docs GROUP BY label)",
-        select="""SELECT r.cv_no, label, role, n FROM (
-  SELECT label, 'train' AS role, n FROM sizes UNION ALL SELECT label, 'test', count(*) FROM given_test GROUP BY label), range(3) r(cv_no)""",
+        "sizes AS (SELECT label, round_even(count(*) * 50 / (SELECT count(*) FROM docs), 0)::BIGINT AS size FROM docs GROUP BY label)",
+        "runs AS (SELECT unnest(range(3))::INT AS cv_no)",
+        f"""drawn AS (SELECT doc_id, label, cv_no, row_number() OVER (PARTITION BY cv_no, label
+  ORDER BY {draw_sql(1, 'doc_id', 'cv_no')}, doc_id) AS place FROM given_train, runs)""",
+        select="""SELECT doc_id, label, cv_no, 'train' AS role FROM drawn JOIN sizes USING (label) WHERE place <= size
+UNION ALL SELECT doc_id, label, cv_no, 'test' FROM given_test, runs""",
     ),
 )
 def subsampled_split(spark, d):
-    rows = splits.subsampled_split(*_given(spark, d), runs=3, sample_size=50, seed=1)
-    # which documents are drawn depends on the seed; how many of each class does not
-    return rows.groupBy("cv_no", "label", "role").agg(F.count_distinct("doc_id").alias("n"))
+    return splits.subsampled_split(*_given(spark, d), runs=3, sample_size=50, seed=1)
 
 
 @query("first_fold_only", with_ctes(_STRAT, select=f"SELECT * FROM ({_ROLES.format('assigned')}) WHERE cv_no = 0"))
@@ -72,10 +74,17 @@ def first_fold_only(spark, d):
     return splits.first_fold_only(splits.stratified_kfold(i.doc_labels(spark, d), 5))
 
 
-@query("shuffle_labels", with_ctes(i.DOCS, select="SELECT label, count(*) AS n FROM docs GROUP BY label"))
+@query(
+    "shuffle_labels",
+    with_ctes(
+        i.DOCS,
+        "places AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM docs)",
+        f"dealt AS (SELECT label, row_number() OVER (ORDER BY {draw_sql(3, 'doc_id')}, doc_id) AS place FROM docs)",
+        select="SELECT doc_id, label FROM places JOIN dealt USING (place)",
+    ),
+)
 def shuffle_labels(spark, d):
-    # a permutation keeps the number of documents of every label
-    return splits.shuffle_labels(i.doc_labels(spark, d), 3).groupBy("label").agg(F.count_distinct("doc_id").alias("n"))
+    return splits.shuffle_labels(i.doc_labels(spark, d), 3)
 
 
 # ---------------------------------------------------------------- classifiers: language of a document, five folds

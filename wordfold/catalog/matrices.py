@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wordfold.catalog import inputs as i
 from wordfold.catalog.registry import query, with_ctes
+from wordfold.functions.draws import draw_sql
 from wordfold.operators import select as sel, splits, stats, vectorize as vz
 from wordfold.sources import sinks
 from wordfold.storage import materialize
@@ -177,12 +178,28 @@ def sim_fn_custom(spark, d):
     return _rounded(vz.apply_handler(test, train_vocab(train), rules, thesaurus(spark, d), k=K, sim_fn=F.sqrt, by=BY))
 
 
-@query("signified_random")
+_LOOKUP = ("doc_id", "feature", "nth")
+_START, _STRIDE = draw_sql(1, "'start'", *_LOOKUP), draw_sql(1, "'stride'", *_LOOKUP)
+
+
+@query(
+    "signified_random",
+    with_ctes(
+        BOTH,
+        "indexed AS (SELECT cv_no, feature, row_number() OVER (PARTITION BY cv_no ORDER BY feature) - 1 AS idx FROM vocab)",
+        "vocab_sizes AS (SELECT cv_no, count(*) AS n FROM vocab GROUP BY cv_no)",
+        "lookups AS (SELECT cv_no, doc_id, feature, unnest(range(1, weight::BIGINT + 1)) AS nth FROM test"
+        " WHERE feature IN (SELECT feature FROM thesaurus))",
+        f"""starts AS (SELECT cv_no, doc_id, n, {_START} % n AS first, {_STRIDE} % greatest(1, (n - 1) // {K}) + 1 AS stride
+  FROM lookups JOIN vocab_sizes USING (cv_no))""",
+        f"drawn AS (SELECT cv_no, doc_id, (first + step * stride) % n AS idx FROM starts, range({K}) r(step) WHERE step < n)",
+        select="SELECT cv_no, doc_id, feature, count(*)::DOUBLE AS weight FROM drawn JOIN indexed USING (cv_no, idx) GROUP BY ALL",
+    ),
+)
 def signified_random(spark, d):
     train, test, _, _ = parts(spark, d)
     vocab = materialize(train_vocab(train), "vocab")
-    drawn = vz.handle_random(test.select(*BY, "doc_id", "feature", "weight"), vocab, K, 1, thesaurus(spark, d), BY)
-    return drawn.groupBy(*BY, "doc_id").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("features"))
+    return vz.handle_random(test.select(*BY, "doc_id", "feature", "weight"), vocab, K, 1, thesaurus(spark, d), BY)
 
 
 @query(

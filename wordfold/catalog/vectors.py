@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordfold.catalog import inputs as i
 from wordfold.catalog.matrices import THESAURUS, dtm, thesaurus
 from wordfold.catalog.registry import query, with_ctes
+from wordfold.functions.draws import draw_sql, share_sql
 from wordfold.operators import neighbours as nb, reduce as rd, vectorize as vz
 from wordfold.storage import materialize
 
@@ -147,10 +148,48 @@ def neighbour_strategy(spark, d):
     return _sim(nb.neighbour_strategy(thesaurus(spark, d), 3, "skipping"), "rank")
 
 
-@query("add_noise")
+@query(
+    "neighbour_strategy_linear",
+    with_ctes(
+        THESAURUS,
+        select="""SELECT feature, neighbour, round(sim, 6) AS sim, row_number() OVER (PARTITION BY feature ORDER BY sim DESC, neighbour) - 1 AS rank
+FROM thesaurus QUALIFY rank < 3""",
+    ),
+)
+def neighbour_strategy_linear(spark, d):
+    return _sim(nb.neighbour_strategy(thesaurus(spark, d), 3, "linear"), "rank")
+
+
+NOISE, NOISE_SEED = 0.1, 7
+
+
+@query(
+    "add_noise",
+    with_ctes(
+        i.DENSE,
+        "cells AS (SELECT feature, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS place FROM dense)",
+        "means AS (SELECT feature, avg(x) FILTER (x <> 0) AS mean FROM cells GROUP BY feature)",
+        select=f"""SELECT feature, place, round(CASE WHEN x <> 0 THEN x + mean * {NOISE} * {share_sql(NOISE_SEED, 'feature', 'place')} ELSE x END, 6) AS x
+FROM cells JOIN means USING (feature)""",
+    ),
+)
 def add_noise(spark, d):
-    vectors = i.dense_vectors(spark, d).drop("cluster")
-    return nb.add_noise(vectors, 0.1, 7)
+    noisy = nb.add_noise(i.dense_vectors(spark, d).drop("cluster"), NOISE, NOISE_SEED)
+    return noisy.select("feature", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(
+    "add_noise_sparse",
+    with_ctes(
+        i.VECTORS,
+        "means AS (SELECT feature, avg(weight) AS mean FROM vectors GROUP BY feature)",
+        select=f"""SELECT feature, ctx, round(weight + mean * {NOISE} * {share_sql(NOISE_SEED, 'feature', 'ctx')}, 6) AS weight
+FROM vectors JOIN means USING (feature)""",
+    ),
+)
+def add_noise_sparse(spark, d):
+    vectors = materialize(i.context_vectors(spark, d), "contexts")
+    return nb.add_noise(vectors, NOISE, NOISE_SEED).withColumn("weight", F.round("weight", 6))
 
 
 _RESTRICT = f"""{i.VECTORS},
@@ -167,7 +206,20 @@ def restrict_entries(spark, d):
     return kept.groupBy("feature").agg(F.count(F.lit(1)).alias("contexts"), F.sum("weight").alias("weight"))
 
 
-@query("random_neighbours")
+_START, _STRIDE = draw_sql(11, "'start'", "feature"), draw_sql(11, "'stride'", "feature")
+
+
+@query(
+    "random_neighbours",
+    with_ctes(
+        i.DTM,
+        "indexed AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (SELECT DISTINCT feature FROM dtm))",
+        "size AS (SELECT count(*) AS n FROM indexed)",
+        f"starts AS (SELECT feature, n, {_START} % n AS first, {_STRIDE} % greatest(1, (n - 1) // 3) + 1 AS stride FROM indexed, size)",
+        "drawn AS (SELECT feature, (first + step * stride) % n AS idx FROM starts, range(3) r(step) WHERE step < n)",
+        select="SELECT d.feature, i.feature AS neighbour, 1.0::DOUBLE AS sim FROM drawn d JOIN indexed i USING (idx)",
+    ),
+)
 def random_neighbours(spark, d):
     vocab = vz.index_vocab(materialize(vz.build_vocab(dtm(spark, d)), "vocab"))
     indexed = materialize(vocab, "indexed")
@@ -187,22 +239,32 @@ def two_sets(spark, d):
     return right.unionByName(thesaurus(spark, d, "l:", contexts).withColumn("source_id", F.lit(1)))
 
 
-@query(
-    "combine_neighbours",
-    with_ctes(
+def _combined(per_source: str, k: str) -> str:
+    return with_ctes(
         _RIGHT_LEFT,
-        "ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, feature ORDER BY sim DESC, neighbour) - 1 AS r FROM sets)",
+        f"ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, feature ORDER BY sim DESC, neighbour) - 1 AS r FROM sets{per_source})",
         "several AS (SELECT feature FROM sets GROUP BY feature HAVING count(DISTINCT source_id) > 1)",
         "merged AS (SELECT feature, neighbour, count(*) AS contained_in, avg(r) AS mean_rank, avg(1 - sim) AS mean_dist "
         "FROM ranked WHERE feature IN (FROM several) GROUP BY ALL)",
-        select="""SELECT feature, neighbour, contained_in, round(1 / (1 + mean_rank), 6) AS sim,
+        select=f"""SELECT feature, neighbour, contained_in, round(1 / (1 + mean_rank), 6) AS sim,
   row_number() OVER (PARTITION BY feature ORDER BY contained_in DESC, round(mean_rank, 9), round(mean_dist, 9), neighbour) - 1 AS rank
-FROM merged QUALIFY rank < 3""",
-    ),
-)
+FROM merged{k}""",
+    )
+
+
+@query("combine_neighbours", _combined("", " QUALIFY rank < 3"))
 def combine_neighbours(spark, d):
-    merged = nb.combine_neighbours(two_sets(spark, d)).where("rank < 3")
-    return _sim(merged, "contained_in", "rank")
+    return _sim(nb.combine_neighbours(materialize(two_sets(spark, d), "sets"), k=3), "contained_in", "rank")
+
+
+@query("combine_neighbours_all", _combined("", ""))
+def combine_neighbours_all(spark, d):
+    return _sim(nb.combine_neighbours(materialize(two_sets(spark, d), "sets")), "contained_in", "rank")
+
+
+@query("combine_neighbours_limited", _combined(" QUALIFY r < 5", " QUALIFY rank < 3"))
+def combine_neighbours_limited(spark, d):
+    return _sim(nb.combine_neighbours(materialize(two_sets(spark, d), "sets"), per_source=5, k=3), "contained_in", "rank")
 
 
 @query(
@@ -222,11 +284,18 @@ def contains(spark, d):
 _ASKED = ", ".join(f"'{w}'" for w in (*i.STOPWORDS, "qqqqq"))
 
 
-@query("get_vector", with_ctes(i.VECTORS, select=f"SELECT feature, ctx, weight FROM vectors WHERE feature IN ({_ASKED})"))
+@query(
+    "get_vector",
+    with_ctes(
+        i.VECTORS,
+        select=f"""SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY ctx) - 1 AS at, ctx, weight
+FROM vectors WHERE feature IN ({_ASKED})""",
+    ),
+)
 def get_vector(spark, d):
     vectors = i.context_vectors(spark, d)
     asked = spark.createDataFrame([(w,) for w in sorted({*i.STOPWORDS, "qqqqq"})], "feature string")
-    return nb.get_vector(vectors, asked).select("feature", F.inline("vector"))
+    return nb.get_vector(vectors, asked)
 
 
 # ---------------------------------------------------------------- clusters and reduction

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.functions import grammar as g
-from wordfold.operators.ranking import top_k
+from wordfold.functions.draws import draw, share
+from wordfold.operators.ranking import global_rank, ranked_heads
 from wordfold.operators.search import nearest
+from wordfold.storage import materialize
 
 CANDIDATES_PER_NEIGHBOUR = 8  # fixed value: spare candidates so that overlap filtering still leaves k
 
@@ -53,7 +55,7 @@ def sim_threshold(neighbours: DataFrame, threshold: float) -> DataFrame:
 
 
 def max_neighbours(neighbours: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
-    return top_k(neighbours, [F.desc("sim"), F.asc("neighbour")], n, [*by, "feature"])
+    return ranked_heads(neighbours, [F.desc("sim"), F.asc("neighbour")], n, [*by, "feature"], "__rank").drop("__rank")
 
 
 def include_self(neighbours: DataFrame, include: bool) -> DataFrame:
@@ -77,9 +79,7 @@ def neighbour_strategy(neighbours: DataFrame, n: int, strategy: str = "linear",
     """
     keys = [*by, "feature"]
     if strategy == "linear":
-        # the bare row number is filtered, so that every partition keeps its n best before the shuffle
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sim"), F.asc("neighbour")))
-        return neighbours.withColumn("rank", place).where(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1)
+        return ranked_heads(neighbours, [F.desc("sim"), F.asc("neighbour")], n, keys)
     if strategy != "skipping":
         raise ValueError(f"unknown neighbour strategy {strategy}")
     # n steps visit at most n + 1 entries, so n + 1 neighbours per entry always hold an unvisited one
@@ -113,18 +113,17 @@ def neighbour_strategy(neighbours: DataFrame, n: int, strategy: str = "linear",
 
 
 def add_noise(vectors: DataFrame, p: float, seed: int = 0) -> DataFrame:
-    """Add to every non-zero entry a seeded share in [0, p) of the vector's mean non-zero entry."""
+    """Add to every non-zero entry a seeded share of at most p of the vector's mean non-zero entry."""
     if p == 0:
         return vectors
-    draw = lambda *keys: F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     if "embedding" in vectors.columns:
         nonzero = F.filter("embedding", lambda x: x != 0)
-        mean = F.aggregate(nonzero, F.lit(0.0), lambda a, x: a + x) / F.size(nonzero)
+        mean = F.aggregate(nonzero, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(nonzero), F.lit(0))
         return vectors.withColumn("__mean", mean).withColumn(
             "embedding",
             F.transform(
                 "embedding",
-                lambda x, i: F.when(x != 0, x + F.col("__mean") * p * draw(F.col("feature"), i)).otherwise(x),
+                lambda x, i: F.when(x != 0, x + F.col("__mean") * p * share(seed, "feature", i)).otherwise(x),
             ),
         ).drop("__mean")
     means = vectors.where(F.col("weight") != 0).groupBy("feature").agg(F.avg("weight").alias("__mean"))
@@ -132,7 +131,7 @@ def add_noise(vectors: DataFrame, p: float, seed: int = 0) -> DataFrame:
         vectors.join(means, "feature", "left")
         .withColumn(
             "weight",
-            F.when(F.col("weight") != 0, F.col("weight") + F.col("__mean") * p * draw("feature", "ctx")).otherwise(F.col("weight")),
+            F.when(F.col("weight") != 0, F.col("weight") + F.col("__mean") * p * share(seed, "feature", "ctx")).otherwise(F.col("weight")),
         )
         .drop("__mean")
         .select(*vectors.columns)
@@ -153,12 +152,13 @@ def vector_entries(vectors: DataFrame) -> DataFrame:
 
 
 def get_vector(vectors: DataFrame, features: DataFrame) -> DataFrame:
-    """Whole vectors of the given features, entries in context order; unknown features give no row."""
-    return (
-        vectors.join(features.select("feature"), "feature", "left_semi")
-        .groupBy("feature")
-        .agg(F.array_sort(F.collect_list(F.struct("ctx", "weight"))).alias("vector"))
-    )
+    """Whole vectors of the given features ``(feature, at, ctx, weight)``; unknown features give no row.
+
+    ``at`` counts the entries of a vector in context order from 0.  An entry is a row, so a vector may have any length.
+    """
+    asked = materialize(vectors.join(features.select("feature"), "feature", "left_semi"), "asked")
+    placed = global_rank(asked, F.col("ctx"), ["feature"], name="at", total="__size")
+    return placed.select("feature", "at", "ctx", "weight")
 
 
 def random_neighbours(
@@ -171,9 +171,9 @@ def random_neighbours(
     """
     sizes = indexed_vocab.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
     rows = lookups.join(F.broadcast(sizes), list(by)) if by else lookups.select("*", sizes.scalar().alias("__size"))
-    start = F.pmod(F.xxhash64(*key, F.lit(seed)), F.col("__size"))
+    start = F.pmod(draw(seed, F.lit("start"), *key), F.col("__size"))
     longest = F.greatest(F.lit(1), F.floor((F.col("__size") - 1) / F.lit(k)))
-    stride = F.pmod(F.xxhash64(*key, F.lit(seed + 1)), longest) + 1
+    stride = F.pmod(draw(seed, F.lit("stride"), *key), longest) + 1
     steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("__size").cast("int")) - 1))
     drawn = rows.withColumn("__step", steps).withColumn("idx", F.pmod(start + F.col("__step") * stride, F.col("__size")))
     names = indexed_vocab.select(*by, "idx", F.col("feature").alias("neighbour"))
@@ -188,14 +188,16 @@ def combine_neighbours(
     Entries in fewer than two sets have no neighbours; ``entries (source_id, feature)`` says
     what each set contains where that is more than what has neighbours.  The combined weight
     is 1/(1 + mean rank).  ``per_source`` takes only the best of each set into account, ``k``
-    keeps the best of the result; both are cut before rows are shuffled.
+    keeps the best of the result.  A feature with most of the rows is ranked in parts (``ranked_heads``)
+    or, without these limits, by ranges (``global_rank``), never in one task.
     """
     by = list(by)
-    inside = Window.partitionBy(*by, "source_id", "feature").orderBy(F.desc("sim"), F.asc("neighbour"))
-    placed = sets.withColumn("__rank", F.row_number().over(inside))
-    if per_source is not None:
-        placed = placed.where(F.col("__rank") <= per_source)
-    placed = placed.withColumn("__rank", F.col("__rank") - 1)
+    inside = [*by, "source_id", "feature"]
+    if per_source is None:
+        nearest_first = F.struct((-F.col("sim")).alias("s"), F.col("neighbour").alias("n"))
+        placed = global_rank(materialize(sets, "sets"), nearest_first, inside, name="__rank", total="__size").drop("__size")
+    else:
+        placed = ranked_heads(sets, [F.desc("sim"), F.asc("neighbour")], per_source, inside, "__rank")
     trusted = (
         (sets if entries is None else entries)
         .groupBy("feature")
@@ -211,10 +213,11 @@ def combine_neighbours(
             F.avg(1 - F.col("sim")).alias("mean_dist"),
         )
     )
-    order = Window.partitionBy(*by, "feature").orderBy(
-        F.desc("contained_in"), F.round("mean_rank", 9).asc(), F.round("mean_dist", 9).asc(), F.asc("neighbour")
-    )
-    ranked = merged.withColumn("rank", F.row_number().over(order))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select(*merged.columns, (1 / (1 + F.col("mean_rank"))).alias("sim"), (F.col("rank") - 1).alias("rank"))
+    rank, dist = F.round("mean_rank", 9), F.round("mean_dist", 9)
+    if k is None:
+        best_first = F.struct((-F.col("contained_in")).alias("c"), rank.alias("r"), dist.alias("d"), F.col("neighbour").alias("n"))
+        ranked = global_rank(materialize(merged, "merged"), best_first, [*by, "feature"], total="__size")
+    else:
+        order = [F.desc("contained_in"), rank.asc(), dist.asc(), F.asc("neighbour")]
+        ranked = ranked_heads(merged, order, k, [*by, "feature"])
+    return ranked.select(*merged.columns, (1 / (1 + F.col("mean_rank"))).alias("sim"), "rank")

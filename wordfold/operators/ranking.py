@@ -82,6 +82,22 @@ def global_rank(
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str]) -> DataFrame:
-    """The first k rows of every group; Spark trims each partition to k before the shuffle."""
+    """The first k rows of every group; for a small k Spark trims each partition to k before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
+#: Parts of a group in ``ranked_heads``; at most PARTS * k rows of a group meet in one task.
+PARTS = 64
+
+
+def ranked_heads(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str], name: str = "rank") -> DataFrame:
+    """The first k rows of every group with their 0-based place, for any k and also when one group has most of the rows.
+
+    A group is cut into parts by a hash of the row; the best k of each part are found first, and only those meet.
+    ``order`` must be unique within a group for the result to be repeatable.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(PARTS))
+    heads = top_k(df.withColumn("__part", part), order, k, [*by, "__part"]).drop("__part")
+    ranked = heads.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__place") <= k)
+    return ranked.select(*[f"`{c}`" for c in df.columns], (F.col("__place") - 1).alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordfold.functions.draws import draw
 from wordfold.operators.ranking import global_rank
 
 
@@ -79,7 +80,7 @@ def subsampled_split(
     each = train.withColumn("cv_no", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     drawn = global_rank(
         each,
-        F.struct(F.xxhash64("doc_id", "cv_no", F.lit(seed)).alias("h"), F.col("doc_id").alias("d")),
+        F.struct(draw(seed, "doc_id", "cv_no").alias("h"), F.col("doc_id").alias("d")),
         by=["cv_no", "label"],
     )
     enough = F.when(
@@ -123,6 +124,6 @@ def split(
 def shuffle_labels(docs: DataFrame, seed: int = 0) -> DataFrame:
     """A random permutation of the labels over the documents."""
     places = global_rank(docs.drop("label"), F.col("doc_id"))
-    deal = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id").alias("d"))
+    deal = F.struct(draw(seed, "doc_id").alias("h"), F.col("doc_id").alias("d"))
     labels = global_rank(docs.select("doc_id", "label"), deal).select("rank", "label")
     return places.join(labels, "rank").drop("rank", "total").select(*docs.columns)
