@@ -263,18 +263,18 @@ def cluster_vectorize(spark, d):
         "applied AS (SELECT doc_id, feature, weight FROM flags WHERE iv UNION ALL "
         "SELECT doc_id, neighbour, weight * sim FROM flags JOIN best USING (cv_no, feature) WHERE NOT iv AND it)",
         "m AS (SELECT doc_id, feature, sum(weight) AS weight FROM applied GROUP BY ALL)",
-        select="""SELECT f.doc_id AS id, '' AS target, round(coalesce(sum(m.weight), 0), 6) AS total_feat_weight,
-  count(m.feature) AS nonzero_feats, round(coalesce(sum(m.weight) FILTER (m.feature = 'the'), 0), 2) AS "the",
-  round(coalesce(sum(m.weight) FILTER (m.feature = 'de'), 0), 2) AS "de"
-FROM folds f LEFT JOIN m ON f.doc_id = m.doc_id GROUP BY f.doc_id""",
+        "totals AS (SELECT doc_id, round(sum(weight), 6) AS total, count(*) AS n FROM m GROUP BY doc_id)",
+        select="""SELECT f.doc_id AS id, '' AS target, coalesce(total, 0) AS total_feat_weight, coalesce(n, 0) AS nonzero_feats,
+  m.feature, round(m.weight::DECIMAL(18, 9), 2)::DOUBLE AS weight
+FROM folds f LEFT JOIN totals t ON f.doc_id = t.doc_id LEFT JOIN m ON f.doc_id = m.doc_id""",
     ),
 )
 def dump_dtm(spark, d):
     train, test, _, test_docs = parts(spark, d)
     matrix = vz.transform_test(test, train_vocab(train), "signifier_signified", thesaurus(spark, d), k=K, by=BY, check=False)
-    rows = sinks.dump_long(matrix, test_docs).withColumn("target", F.lit(""))
-    at = lambda f: F.round(F.coalesce(F.try_element_at("weights", F.lit(f)), F.lit(0.0)), 2).alias(f)
-    return rows.select("id", "target", F.round("total_feat_weight", 6).alias("total_feat_weight"), "nonzero_feats", at("the"), at("de"))
+    rows = sinks.dump_dtm(matrix, test_docs, test=True)
+    total = F.round("total_feat_weight", 6).alias("total_feat_weight")
+    return rows.select("id", "target", total, "nonzero_feats", F.explode_outer("weights").alias("feature", "weight"))
 
 
 # ---------------------------------------------------------------- selection

@@ -59,6 +59,8 @@ class Experiment:
     shuffle_labels: bool = False
     seed: int = 0
     classifiers: dict = field(default_factory=lambda: {"multinomial_nb": {"alpha": 0.1}})
+    # output
+    dump: bool = False
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,7 @@ class Result:
     coverage: DataFrame
     replacements: DataFrame | None
     survival: DataFrame
+    dump: DataFrame
 
 
 def check(e: Experiment, m: Model) -> None:
@@ -162,6 +165,16 @@ def neighbour_table(e: Experiment, m: Model, vocab: DataFrame, lookups: DataFram
     return nb.combine_neighbours(sets, entries, keys, spare + 1), entries.select("feature").distinct()
 
 
+def looked_up(marked: DataFrame, handler: str | dict) -> DataFrame:
+    """The rows whose feature the handler replaces."""
+    rules = vz.HANDLERS[handler] if isinstance(handler, str) else handler
+    wanted = F.lit(False)
+    for (iv, it), action in rules.items():
+        if action == vz.EXPAND:
+            wanted = wanted | ((F.col("iv") == iv) & (F.col("it") == it))
+    return marked.where(wanted)
+
+
 def run_experiment(
     corpus: DataFrame, e: Experiment = Experiment(), model: Model = Model(), test_corpus: DataFrame | None = None, output: str | None = None
 ) -> Result:
@@ -203,11 +216,15 @@ def run_experiment(
         entries = model.vectors[0].select("feature").distinct()
         for v in model.vectors[1:]:
             entries = entries.unionByName(v.select("feature")).distinct()
+    recorded = []  # replacements of both stages
     if e.train_handler == "base" or model.clusters is not None:
         train = vz.apply_handler(train_rows, full_vocab, "base", by=BY)
     else:
-        near, known = neighbour_table(e, model, full_vocab, full_vocab.select(*BY, "feature"))
+        wanted = looked_up(vz.mark_iv_it(train_rows, full_vocab, entries, BY), e.train_handler)
+        near, known = neighbour_table(e, model, full_vocab, wanted.select(*BY, "feature").distinct())
+        near = materialize(near, "neighbours-train")
         train = vz.apply_handler(train_rows, full_vocab, e.train_handler, near, known, e.k, e.sim_fn, BY)
+        recorded.append(stats.replacement_counts(wanted, near, full_vocab, e.k, "tr", BY))
     train = materialize(train, "train")
     vocab = select.select_features(
         full_vocab, train, roles["train"], e.select_k, entries, e.must_be_in_model, e.min_log_odds, e.scoring, BY
@@ -218,7 +235,6 @@ def run_experiment(
     train = train.join(vocab.select(*BY, "feature"), [*BY, "feature"], "left_semi")
 
     # test matrix against the selected vocabulary
-    replaced, near, known = None, None, entries
     if model.clusters is not None:
         test = vz.cluster_vectorize(test_rows, model.clusters, vocab, BY)
         marked = vz.mark_iv_it(test, vocab, entries, BY)
@@ -232,16 +248,11 @@ def run_experiment(
         if e.handler == "base":
             test = vz.apply_handler(test_rows, vocab, "base", by=BY)
         else:
-            rules = vz.HANDLERS[e.handler] if isinstance(e.handler, str) else e.handler
-            wanted = F.lit(False)
-            for (iv, it), action in rules.items():
-                if action == vz.EXPAND:
-                    wanted = wanted | ((F.col("iv") == iv) & (F.col("it") == it))
-            looked_up = marked.where(wanted)
-            near, known = neighbour_table(e, model, vocab, looked_up.select(*BY, "feature").distinct())
+            wanted = looked_up(marked, e.handler)
+            near, known = neighbour_table(e, model, vocab, wanted.select(*BY, "feature").distinct())
             near = materialize(near, "neighbours")
             test = vz.transform_test(test_rows, vocab, e.handler, near, known, e.k, e.sim_fn, BY, e.seed, check=False)
-            replaced = stats.replacement_counts(looked_up, near, vocab, e.k, "ev", BY)
+            recorded.append(stats.replacement_counts(wanted, near, vocab, e.k, "ev", BY))
 
     # pruning: the test matrix follows the surviving training features
     train_docs = select.keep_docs_min_weight(roles["train"], train, e.min_train_features, BY)
@@ -264,6 +275,10 @@ def run_experiment(
     # training features count as known before any limit on their frequency
     in_training = vz.mark_iv_it(in_fold(train_counts, folds, "train"), None, entries, BY)
     coverage = stats.coverage_counts(in_training, "tr").unionByName(stats.coverage_counts(marked, "ev"))
+    replaced = None
+    for stage in recorded:
+        replaced = stage if replaced is None else replaced.unionByName(stage)
+    dump = sinks.dump_entries(train, train_docs, "tr", BY).unionByName(sinks.dump_entries(test, test_docs, "ev", BY))
     result = Result(
         scores=metrics.scores_per_fold(judged),
         training_scores=metrics.scores_per_fold(on_training),
@@ -275,6 +290,7 @@ def run_experiment(
         coverage=coverage,
         replacements=replaced,
         survival=stats.survival_counts(roles["train"], train_docs, full_vocab, kept_vocab, train, BY),
+        dump=dump,
     )
     if output:
         root = output.rstrip("/")
@@ -282,4 +298,6 @@ def run_experiment(
         sinks.write_gold(result.gold, f"{root}/gold")
         sinks.write_predictions(result.predictions, f"{root}/predictions")
         sinks.write_stats(result.coverage, result.replacements, f"{root}/statistics")
+        if e.dump:
+            sinks.write_dump(result.dump, f"{root}/dump")
     return result

@@ -122,13 +122,18 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     )
 
 
+def _two_digits(name: str) -> Column:
+    # first to nine digits, so that sums in another order end on the same side of a half
+    return F.round(F.round(name, 9), 2)
+
+
 def dump_long(dtm: DataFrame, docs: DataFrame) -> DataFrame:
     """Per document its label, total weight, number of non-zero features and features to 2 decimals."""
     nonzero = dtm.where("weight <> 0")
     sums = nonzero.groupBy("doc_id").agg(
         F.sum("weight").alias("total_feat_weight"),
         F.count(F.lit(1)).alias("nonzero_feats"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.round("weight", 2).alias("w"))))).alias("weights"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", _two_digits("weight").alias("w"))))).alias("weights"),
     )
     return docs.join(sums, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
@@ -153,6 +158,22 @@ def dump_dtm(dtm: DataFrame, docs: DataFrame, columns: Sequence[str] | None = No
     return rows.select("id", "target", "total_feat_weight", "nonzero_feats", *wide)
 
 
+def dump_entries(dtm: DataFrame, docs: DataFrame, stage: str, by: Sequence[str] = ("cv_no",)) -> DataFrame:
+    """The matrix of a stage (``tr``, ``ev``) for inspection, one row for each non-zero weight, to 2 decimals.
+
+    A document without entries has one row without a feature.  Documents of stage ``ev`` have an empty target.
+    """
+    keys = [*by, "doc_id"]
+    entries = dtm.where("weight <> 0").select(*keys, "feature", _two_digits("weight").alias("weight"))
+    target = F.lit("") if stage == "ev" else F.col("label")
+    rows = docs.select(*keys, "label").join(entries, keys, "left")
+    return rows.select(*by, F.lit(stage).alias("stage"), F.col("doc_id").alias("id"), target.alias("target"), "feature", "weight")
+
+
+def write_dump(entries: DataFrame, path: str) -> None:
+    entries.write.partitionBy("cv_no", "stage").parquet(path)
+
+
 def write_stats(coverage: DataFrame, replacements: DataFrame | None, path: str) -> None:
     """Append the counts of a fold and stage."""
     root = path.rstrip("/")
