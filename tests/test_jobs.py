@@ -1,5 +1,6 @@
 import gzip
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,12 +52,30 @@ def test_xml_layouts(spark, tmp_path, layout):
 def test_malformed_xml_is_set_aside(spark, tmp_path):
     put(tmp_path, "earn", "1.tagged", xml("<dependencies>", "</dependencies>", ner=False))
     put(tmp_path, "earn", "2.tagged", "<root><sentence id='1'><tokens><token id='x'></tokens></sentence></root>")
-    assert co.read_parsed_xml(spark, str(tmp_path)).count() == 1
+    read = co.read_parsed_xml(spark, str(tmp_path))
+    assert sorted((r["label"], len(r["tokens"])) for r in read.collect()) == [("earn", 0), ("earn", 3)]
     assert co.malformed_xml(spark, str(tmp_path)).count() == 1
-    tokens = tk.clean_tokens(co.read_parsed_xml(spark, str(tmp_path))).first()["tokens"]
+    tokens = tk.clean_tokens(read.where(F.size("tokens") > 0)).first()["tokens"]
     assert {t["ner"] for t in tokens} == {"MISSING"}
 
 
+def test_a_malformed_sentence_costs_no_other(spark, tmp_path):
+    good = "<sentence id='{0}'><tokens><token id='1'><word>w{0}</word><lemma>w{0}</lemma><POS>NN</POS></token></tokens></sentence>"
+    wrap = "<?xml version='1.0'?>\n<root><document><sentences>\n{0}\n</sentences></document></root>".format
+    bad = "<sentence id='2'><tokens><token id='1'><word>b</word></token></sentence>"
+    put(tmp_path, "x", "1.tagged", wrap(good.format(1) + bad + good.format(3) + "<sentence id='4'/>"))
+    put(tmp_path, "x", "2.tagged", wrap(""))
+    put(tmp_path, "y", "3.tagged", wrap(bad + bad))
+    put(tmp_path, "y", "4.tagged", wrap(good.format(1)) + "<sentence id='2'><tok")
+    rows = lambda df: sorted((r["doc_id"][-8], r["sent_id"], len(r["tokens"])) for r in df.collect())
+    assert rows(co.read_parsed_xml(spark, str(tmp_path))) == [("1", 1, 1), ("1", 3, 1), ("1", 4, 0), ("2", 1, 0), ("3", 1, 0), ("4", 1, 1)]
+    marked = co.load_corpus(spark, str(tmp_path), fmt="xml", keep_malformed=True)
+    assert sorted(r["doc_id"][-8] for r in marked.where("malformed").collect()) == ["1", "3", "3", "4"]
+    e = ex.Experiment(split="oracle", train_features=UNI, test_features=UNI, classifiers={"most_common_label": {}})
+    survival = ex.run_experiment(marked.drop("split"), e).survival.first()
+    assert (survival["docs"], survival["malformed"]) == (4, 4)
+
+
 def test_conll(spark, tmp_path):
     text = "1\tHe\the\tPRP\tO\t2\tnsubj\n2\tleads\tlead\tVBZ\tO\t0\tROOT\n3\t,\t,\t,\tO\t_\t_\n\n1\tTeams\tteam\tNNS\tO\t2\tnsubj\n2\twin\twin\tVBP\tO\t0\tROOT\n3\tgames\tgame\tNNS\tO\t2\tdobj"
     put(tmp_path, "x", "1.conll", text)
@@ -108,6 +127,13 @@ def test_composed_vectors(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("big cat", "amod:x", 2.0), ("big cat", "dobj:y", 3.0)]
 
 
+def test_composed_vectors_in_folders(spark, tmp_path):
+    for name, text in (("name=7.sent/part-0.txt", "1\tred\n2\tcar\n"), ("name=7.apt.vec.gz/part-0.txt", "A\t1\n"), ("8.sent", "1\tx\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert [tuple(r) for r in ve.read_composed_vectors(spark, str(tmp_path)).collect()] == [("red car", "a", 1.0)]
+
+
 def test_merge_vectors(spark):
     uni = ve.parse_vectors(lines(spark, "a/N\tx\t1\ty\t2\nb/N\ty\t3\tz\t1\nc/V\tx\t2\tz\t2\na/N_b/N\tx\t9"))
     phrases = ve.parse_vectors(lines(spark, "big cat\tx\t1\tunknown\t5"))
@@ -158,6 +184,12 @@ def test_expansion_with_thesaurus(spark, pets, tmp_path, handler):
     assert (len(ev), sum(r["count"] for r in ev)) == (5, 9)
     tr = result.coverage.where("stage = 'tr' and cv_fold = 0").collect()
     assert all((r["IV"], r["IT"]) == (1, 1) for r in tr) and sum(r["count"] for r in tr) == 9
+    both = ex.run_experiment(pets[0], replace(e, train_handler="signified_only", dump=True), model, pets[1], str(tmp_path / "both"))
+    assert {r["stage"] for r in both.replacements.collect()} == {"tr", "ev"}
+    assert both.replacements.where("stage = 'ev'").exceptAll(result.replacements).count() == 0
+    dumped = spark.read.parquet(str(tmp_path / "both" / "dump"))
+    assert dumped.count() == both.dump.count() and {r["stage"] for r in dumped.collect()} == {"tr", "ev"}
+    assert {r["target"] for r in dumped.where("stage = 'ev'").collect()} == {""}
 
 
 @pytest.mark.parametrize("strategy", ["linear", "skipping"])

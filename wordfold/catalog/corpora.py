@@ -78,6 +78,51 @@ def read_parsed_xml(spark, d):
     return _token_counts(co.read_parsed_xml(spark, path))
 
 
+# sentences of 3, 10, 17, ... tokens lose a closing tag; documents whose sentences all did so stay
+_BROKEN_SQL = f"""{i.TOKENS},
+per_sentence AS (SELECT doc_id, label, len(ws) AS n FROM sent_words WHERE len(ws) > 0),
+per_doc AS (SELECT doc_id, label, count(*) FILTER (n % 7 <> 3) AS good, count(*) FILTER (n % 7 = 3) AS bad,
+  coalesce(sum(n) FILTER (n % 7 <> 3), 0)::BIGINT AS tokens FROM per_sentence GROUP BY ALL)"""
+
+
+def broken_xml(spark, d) -> str:
+    sentence = _sentence_xml(F.struct("sent_id", "tokens", "edges"))
+    broken = F.when(F.size("tokens") % 7 == 3, F.replace(sentence, F.lit("</tokens>"), F.lit(""))).otherwise(sentence)
+    docs = parsed_documents(spark, d, broken, "\n")
+    path = scratch_path(spark, "xml")
+    wrapped = F.concat(F.lit("<root><document><sentences>\n"), "text", F.lit("\n</sentences></document></root>"))
+    write_one_file_per_document(docs.withColumn("value", wrapped), path)
+    return path
+
+
+@query(
+    "read_parsed_xml_malformed",
+    with_ctes(
+        _BROKEN_SQL,
+        select="""SELECT label, good + bad AS sentences, bad AS malformed, tokens, count(*) AS docs FROM per_doc GROUP BY ALL""",
+    ),
+)
+def read_parsed_xml_malformed(spark, d):
+    read = co.read_parsed_xml(spark, broken_xml(spark, d), keep_malformed=True)
+    per_doc = read.groupBy("doc_id", "label").agg(
+        F.count(F.lit(1)).alias("sentences"), F.count_if("malformed").alias("malformed"), F.sum(F.size("tokens")).alias("tokens")
+    )
+    return per_doc.groupBy("label", "sentences", "malformed", "tokens").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(
+    "read_parsed_xml_dropped",
+    with_ctes(
+        _BROKEN_SQL,
+        select="SELECT label, greatest(good, 1) AS sentences, tokens, count(*) AS docs FROM per_doc GROUP BY ALL",
+    ),
+)
+def read_parsed_xml_dropped(spark, d):
+    read = co.read_parsed_xml(spark, broken_xml(spark, d))
+    per_doc = read.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("tokens")).alias("tokens"))
+    return per_doc.groupBy("label", "sentences", "tokens").agg(F.count(F.lit(1)).alias("docs"))
+
+
 def _conll_block() -> Column:
     rel = lambda t: F.when(t["idx"] < F.size("tokens"), F.lit("dep")).otherwise(F.lit("_"))
     head = lambda t: F.when(t["idx"] < F.size("tokens"), (t["idx"] + 1).cast("string")).otherwise(F.lit("_"))
@@ -262,6 +307,29 @@ def read_vector_sets(spark, d):
     return _sums(ve.read_vector_sets(spark, paths), "source_id")
 
 
+@query(
+    "read_composed_vectors",
+    with_ctes(
+        i.WORD_LISTS,
+        "phrases AS (SELECT doc_id, md5(array_to_string(ws, ' ')) AS phrase, unnest(ws) AS w FROM word_lists)",
+        "counted AS (SELECT doc_id, phrase, 't:' || w AS ctx, count(*)::DOUBLE AS weight FROM phrases GROUP BY ALL)",
+        select="SELECT phrase, ctx, weight FROM counted",
+    ),
+)
+def read_composed_vectors(spark, d):
+    """Every document as a phrase with the counts of its words as its vector, a file of each kind."""
+    path = scratch_path(spark, "composed")
+    docs = i.documents(spark, d).select("doc_id", i.word_array().alias("ws")).where(F.size("ws") > 0)
+    line = F.array_join(F.transform("ws", lambda w, at: F.concat_ws("\t", (at + 1).cast("string"), w)), "\n")
+    name = lambda kind: F.concat(F.col("doc_id").cast("string"), F.lit(kind)).alias("name")
+    docs.select(name(".sent"), line.alias("value")).write.partitionBy("name").text(path)
+    rows = docs.select("doc_id", F.explode("ws").alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.collect_list(F.concat_ws("\t", F.concat(F.lit("T:"), "w"), F.col("n").cast("string")))
+    vectors = rows.groupBy("doc_id").agg(F.array_join(pairs, "\t").alias("value")).select(name(".apt.vec.gz"), "value")
+    vectors.write.mode("append").partitionBy("name").option("compression", "gzip").text(path)
+    return ve.read_composed_vectors(spark, path).select(F.md5("feature").alias("phrase"), "ctx", "weight")
+
+
 @query("vector_entries", with_ctes(i.VECTORS, select="SELECT DISTINCT feature FROM vectors"))
 def vector_entries(spark, d):
     path = scratch_path(spark, "vectors")

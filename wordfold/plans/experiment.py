@@ -115,7 +115,7 @@ def check(e: Experiment, m: Model) -> None:
 def corpus_counts(corpus: DataFrame, tokens: TokenOptions, features: FeatureOptions) -> DataFrame:
     """(doc_id, label, feature, weight) from parsed sentences or from extracted features."""
     if "edges" in corpus.columns:
-        sentences = corpus.drop("split")
+        sentences = corpus.drop("split", "malformed")
         if as_set(features.phrase_types) or features.ngram_max > 1:
             rows = extract_features(clean_tokens(sentences, tokens), features)
         else:
@@ -279,6 +279,9 @@ def run_experiment(
     for stage in recorded:
         replaced = stage if replaced is None else replaced.unionByName(stage)
     dump = sinks.dump_entries(train, train_docs, "tr", BY).unionByName(sinks.dump_entries(test, test_docs, "ev", BY))
+    survival = stats.survival_counts(roles["train"], train_docs, full_vocab, kept_vocab, train, BY)
+    if "malformed" in corpus.columns:
+        survival = survival.join(stats.malformed_counts(corpus, roles["train"], BY), BY, "left").fillna(0, ["malformed"])
     result = Result(
         scores=metrics.scores_per_fold(judged),
         training_scores=metrics.scores_per_fold(on_training),
@@ -289,7 +292,7 @@ def run_experiment(
         test=test,
         coverage=coverage,
         replacements=replaced,
-        survival=stats.survival_counts(roles["train"], train_docs, full_vocab, kept_vocab, train, BY),
+        survival=survival,
         dump=dump,
     )
     if output:
