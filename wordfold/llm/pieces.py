@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "\u2581"
 #: Entries of each of the two generations of a worker's cache, and the longest word it holds.
@@ -167,6 +169,27 @@ def encode(text: Column, path: str) -> Column:
     return run(text)
 
 
+def with_pieces(docs: DataFrame, path: str, text_col: str = "text", name: str = "pieces") -> DataFrame:
+    """``docs`` with piece ids as the last column, in place of a column of that name.
+
+    Rows pass through a task few at a time, so the ids of only few texts are held at once.
+    """
+    names = [c for c in docs.columns if c != name]
+    at = names.index(text_col)
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names with dots cannot go to mapInArrow
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(start, _TEXTS)
+                ids = _lists([c.encode(t or "") for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+
+    made = T.StructType([*numbered.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return numbered.mapInArrow(run, made).toDF(*names, name)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of piece ids; null for null."""
 

@@ -20,6 +20,7 @@ Null texts are empty, null ids are allowed, texts shorter than ``length`` lose n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ GRAM = 64
 BLOCK = 16
 #: Windows handled at once in a task; longer texts are cut with an overlap.
 SEGMENT = 1 << 17
+#: Blocks of a text that leave a task together, and texts that are cut together.
+BLOCKS_TOGETHER, TEXTS_TOGETHER = 1 << 14, 128
 _POSITION_BITS = 18
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -160,32 +163,32 @@ def _zone_rows(length: int):
 
 def _block_rows(length: int):
     """Blocks of the edge zones of a text.  Block boundaries are fixed relative to the anchor, so equal surroundings give equal blocks."""
+    names = ["__id", "__th", "first", "core", "left", "right"]
+
+    def blocks(text: bytes, edges: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        seen: set[tuple[int, int]] = set()  # a zone of a long text can come in two parts
+        for start, n, offset in edges:
+            anchor = start + offset
+            for block in range((offset - n + 1) // BLOCK, offset // BLOCK + 1):
+                first = anchor - block * BLOCK - (BLOCK - 1)  # of its windows
+                core = text[first + BLOCK - 1 : first + length] if first + BLOCK > 0 else b""
+                if len(core) < length - BLOCK + 1 or (first, anchor) in seen:
+                    continue
+                seen.add((first, anchor))
+                digest = xxhash.xxh3_128_digest(core, seed=block & 0xFFFF)
+                yield first, digest, text[max(first, 0) : first + BLOCK - 1], text[first + length : first + length + BLOCK - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, th, text, edges in zip(
-                batch.column(0), batch.column(1).to_pylist(), rows.bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True
-            ):
-                out: tuple[list, ...] = ([], [], [], [])
-                seen: set[tuple[int, int]] = set()  # a zone of a long text can come in two parts
-                for e in edges:
-                    anchor = e["first"] + e["offset"]
-                    for block in range((e["offset"] - e["n"] + 1) // BLOCK, e["offset"] // BLOCK + 1):
-                        first = anchor - block * BLOCK - (BLOCK - 1)  # of its windows
-                        core = text[first + BLOCK - 1 : first + length] if first + BLOCK > 0 else b""
-                        if len(core) < length - BLOCK + 1 or (first, anchor) in seen:
-                            continue
-                        seen.add((first, anchor))
-                        out[0].append(first)
-                        out[1].append(xxhash.xxh3_128_digest(core, seed=block & 0xFFFF))
-                        out[2].append(text[max(first, 0) : first + BLOCK - 1])
-                        out[3].append(text[first + length : first + length + BLOCK - 1])
-                k = len(out[0])
-                if k:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc.as_py()] * k, doc.type), pa.array([th] * k, pa.int64()), pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]],
-                        ["__id", "__th", "first", "core", "left", "right"],
-                    )
+            for at, text in enumerate(rows.bytes_of(batch.column(2))):
+                edges = batch.column(3)[at].values
+                fields = [edges.field(f).to_numpy(zero_copy_only=False).tolist() for f in ("first", "n", "offset")]
+                found = blocks(text, zip(*fields, strict=True))
+                while part := list(islice(found, BLOCKS_TOGETHER)):
+                    key = batch.slice(at, 1)
+                    same = pa.array(np.zeros(len(part), np.int64))
+                    columns = [pa.array(x, k) for x, k in zip(zip(*part, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)]
+                    yield pa.RecordBatch.from_arrays([key.column(0).take(same), key.column(1).take(same), *columns], names)
 
     return run
 
@@ -225,51 +228,64 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     blocks = materialize(told.mapInArrow(_block_rows(length), key + _BLOCKS), "blocks")
     blocks = materialize(_repeated_twice(blocks, "core"), "repeated-cores")
     sides = ["core", "left", "right"]
-    same = materialize(blocks.groupBy(*sides).agg(F.count(F.lit(1)).alias("times")), "block-kinds")
+    kind = [F.xxhash64(*sides).alias("k1"), F.xxhash64(*reversed(sides), F.lit(1)).alias("k2")]  # 128 bits in place of the three
+    blocks = blocks.select(*place, (F.length("left") + F.length("right")).alias("around"), *sides, *kind)
+    same = materialize(blocks.groupBy(*sides, "k1", "k2").agg(F.count(F.lit(1)).alias("times")), "block-kinds")
     cores = materialize(same.groupBy("core").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1 and kinds > 1").select("core"), "cores")
     windows = (
         same.join(cores, "core")
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("i"))  # the i-th window lacks i bytes on the left
         .where(f"length(left) >= {BLOCK - 1} - i and length(right) >= i")
-        .select(*sides, "times", "i", F.expr(f"substring(left, length(left) - ({BLOCK - 1} - i) + 1, {BLOCK - 1} - i)").alias("l"), F.expr("substring(right, 1, i)").alias("r"))
-        .select(*sides, "times", "i", F.xxhash64("core", "i", "l", "r").alias("d1"), F.xxhash64("r", "l", "i", "core", F.lit(1)).alias("d2"))
+        .select("core", "k1", "k2", "times", "i", F.expr(f"substring(left, length(left) - ({BLOCK - 1} - i) + 1, {BLOCK - 1} - i)").alias("l"), F.expr("substring(right, 1, i)").alias("r"))
+        .select("k1", "k2", "times", "i", F.xxhash64("core", "i", "l", "r").alias("d1"), F.xxhash64("r", "l", "i", "core", F.lit(1)).alias("d2"))
     )
     windows = materialize(windows, "windows")
     again = materialize(windows.groupBy("d1", "d2").agg(F.sum("times").alias("all")).where("all > 1").drop("all"), "repeated")
-    single = windows.where("times = 1").join(again, ["d1", "d2"]).groupBy(*sides).agg(F.collect_list("i").alias("at"))
+    single = windows.where("times = 1").join(again, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_list("i").alias("at"))
     single = materialize(single, "single")
-    full = blocks.join(same.where("times > 1").drop("times"), sides)
+    found = blocks.select(*place, "around", "k1", "k2")
+    full = found.join(same.where("times > 1").select("k1", "k2"), ["k1", "k2"])
     first = F.greatest(F.col("first"), F.lit(0))
-    full = full.select("__id", "__th", first.alias("first"), (F.length("left") + F.length("right") - (BLOCK - 2)).cast("int").alias("n"))
-    some = blocks.join(single, sides).select("__id", "__th", "first", F.explode("at").alias("i")).select("__id", "__th", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"))
+    full = full.select("__id", "__th", first.alias("first"), (F.col("around") - (BLOCK - 2)).cast("int").alias("n"))
+    some = found.join(single, ["k1", "k2"]).select("__id", "__th", "first", F.explode("at").alias("i")).select("__id", "__th", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"))
     return whole.unionByName(full.where("n > 0")).unionByName(some)
 
 
 @F.arrow_udf(T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary"))
 def _cut(texts: pa.Array, covers: pa.Array) -> pa.Array:
-    found = []
-    for text, cover in zip(rows.bytes_of(texts), covers.to_pylist(), strict=True):
-        kept, removed, spans, at = [], 0, 0, -1
-        begin = 0
-        for a, b in sorted((c["first"], c["stop"]) for c in cover or ()):
-            if a > at:  # a new run: not even touching the one before
-                kept.append(text[begin:a])
-                spans += 1
-                removed += b - a
-                at = begin = b
-            elif b > at:
-                removed += b - at
-                at = begin = b
-        kept.append(text[begin:])
-        found.append((len(text), removed, spans, b"".join(kept)))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["n_bytes", "n_removed", "n_spans", "kept"])
+    kinds = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    return pa.concat_arrays([pa.array([], kinds), *[
+        pa.array(list(map(_without, rows.bytes_of(texts.slice(at, TEXTS_TOGETHER)), covers.slice(at, TEXTS_TOGETHER).to_pylist())), kinds)
+        for at in range(0, len(texts), TEXTS_TOGETHER)
+    ]])
+
+
+def _without(text: bytes, cover: list[dict] | None) -> tuple[int, int, int, bytes]:
+    """Bytes of a text, bytes in ``cover``, the runs they make, and the other bytes."""
+    kept, removed, spans, at = [], 0, 0, -1
+    begin = 0
+    for a, b in sorted((c["first"], c["stop"]) for c in cover or ()):
+        if a > at:  # a new run: not even touching the one before
+            kept.append(text[begin:a])
+            spans += 1
+            removed += b - a
+            at = begin = b
+        elif b > at:
+            removed += b - at
+            at = begin = b
+    kept.append(text[begin:])
+    return len(text), removed, spans, b"".join(kept)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__id``, ``__th`` and ``__cut``: ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept``."""
+    """``docs`` with ``__id``, ``__th`` and ``__cut``: ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept``.
+
+    Texts that lose nothing do not pass through Python again.
+    """
     found = repeated_windows(docs, length, id_col, text_col)
     stop = (F.col("first") + F.col("n") + (length - 1)).alias("stop")
     covers = materialize(found.groupBy("__id", "__th").agg(F.collect_list(F.struct("first", stop)).alias("cover")), "covers")
-    marked = rows.attach(docs, covers, id_col, text_col)
-    return marked.withColumn("__cut", _cut(F.col(text_col), F.col("cover"))).drop("cover")
+    without, joined = rows.split(docs, covers, id_col, text_col)
+    raw, none = F.coalesce(F.col(text_col), F.lit("")).cast("binary"), F.lit(0).cast("long")
+    uncut = F.struct(F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"))
+    return without.withColumn("__cut", uncut).unionByName(joined.withColumn("__cut", _cut(F.col(text_col), F.col("cover"))).drop("cover"))
