@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wordfold.llm import exact, langid, mixing, pieces, queries, simhash
 from wordfold.storage import scratch_path, temporary
@@ -34,8 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids (``pieces``, in place of a column of that name), which decode to the text."""
     path = queries.tokenizer_path("piece_bpe_32k.model")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "pieces"]
-    return docs.select(*columns, pieces.encode(F.col("text"), path).alias("pieces"))
+    return pieces.with_pieces(docs, path)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
