@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from wordfold.llm import exact, graph, langid, mixing, pieces, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
+from wordfold.llm import bloom, exact, graph, langid, mixing, pieces, queries, radix, sample, sentences, simhash, sketch, tokens, urls  # noqa: E402
 from wordfold.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, pieces int, __extra string"
@@ -440,3 +440,28 @@ def test_pipeline(spark, docs, empty):
     assert all(codec.decode(r["pieces"]) == (r["text"] or "") for r in encoded if "\u2581" not in (r["text"] or ""))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_filter(spark):
+    F = bloom.F
+    df = spark.range(30_000).select((F.col("id") % 20_000).alias("chunk"), F.lit(1).alias("words"), F.col("id").alias("H"))
+    once = bloom.build(F.col("chunk"), df.where("chunk < 5000"), 1 << 18)
+    found = bloom.probe(df, F.col("chunk"), once, "maybe")
+    assert found.columns == ["chunk", "words", "H", "maybe"]
+    assert found.where("chunk < 5000 and not maybe").count() == 0
+    assert found.where("chunk >= 5000 and maybe").select("chunk").distinct().count() < 300  # 15,000 others
+    twice = bloom.probe(df, F.col("chunk"), bloom.build(F.col("chunk"), df, 1 << 19, times=2), "maybe")
+    assert twice.where("chunk < 10000 and not maybe").count() == 0  # those that occur again
+    assert twice.where("chunk >= 10000 and maybe").count() < 1000
+    nothing = bloom.probe(df, F.col("chunk"), bloom.build(F.col("chunk"), df.where("false"), bloom.bits_for(0)), "maybe")
+    assert nothing.where("maybe").count() == 0
+
+
+def test_pieces_beside_other_columns(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "a b", 7, 8), (2, None, 7, 8), (3, "", 7, 8)], "doc_id long, text string, `a.b` int, pieces int")
+    found = pieces.with_pieces(docs, path)
+    assert found.columns == ["doc_id", "text", "a.b", "pieces"]
+    got = {r["doc_id"]: (r["text"], r["a.b"], r["pieces"]) for r in found.collect()}
+    assert got == {1: ("a b", 7, pieces.codec(path).encode("a b").tolist()), 2: (None, 7, []), 3: ("", 7, [])}
+    assert pieces.with_pieces(docs.where("false"), path).count() == 0
