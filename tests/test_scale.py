@@ -1,13 +1,16 @@
 """Forms of the same rows that keep work in place: cheap tests before regular expressions, files listed by label, one pass over XML."""
 
+import math
 import os
+import re
 
 from pyspark.sql import functions as F
 
 from wordfold.catalog import corpora as cat, inputs as i
 from wordfold.functions import grammar as g, text as tx
 from wordfold.functions.text import let
-from wordfold.sources import corpora as co
+from wordfold.operators import crossval, neighbours as nb, search, vectorize as vz
+from wordfold.sources import corpora as co, vectors as ve
 
 WORDS = ["dogs", "dogs\r", "dogs ", "gas", "glass", "Ärgers", "ÉTÉ", "zebra", "Zebras", "[x]", "{x}", "", "12/23", "1e5", "+1e5", "nan", "NaN",
          "INF", "-inf", "infs", ".5e3", "n", "i", "1_0e2", "übers", "@a", "`a", "٣e٥", "ins"]
@@ -87,3 +90,15 @@ def test_a_document_of_malformed_sentences_stays(spark, tmp_path):
     assert got == [("x.tagged", 7, 1), ("y.tagged", 1, 0), ("z.tagged", 1, 0)]
     assert co.read_parsed_xml(spark, str(tmp_path), keep_malformed=True).where("malformed").count() == 2
     assert co.malformed_xml(spark, str(tmp_path)).count() == 2
+
+
+def test_draws_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nb, "NAME_PARTS", 3)
+    names = ["a", "b", "c", "d", "e", "f", "g", "g"]  # one name twice: two entries
+    vocab = spark.createDataFrame([(v, n) for v in (0, 1) for n in names[: 8 - v]], "cv_no int, feature string")
+    seen = spark.createDataFrame([(v, d, f, float(1 + d % 3)) for v in (0, 1) for d in range(20) for f in "abx"], "cv_no int, doc_id long, feature string, weight double")
+    each = seen.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+    drawn = nb.random_neighbours(each, vz.index_vocab(vocab, ["cv_no"]), 3, 5, ["doc_id", "feature", "__nth"], ["cv_no"])
+    want = drawn.groupBy("cv_no", "doc_id", "neighbour").agg(F.count(F.lit(1)).cast("double"))
+    got = vz.handle_random(seen, vocab, 3, 5, None, ["cv_no"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
