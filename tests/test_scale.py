@@ -102,3 +102,16 @@ def test_draws_are_counted_in_parts(spark, monkeypatch):
     want = drawn.groupBy("cv_no", "doc_id", "neighbour").agg(F.count(F.lit(1)).cast("double"))
     got = vz.handle_random(seen, vocab, 3, 5, None, ["cv_no"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_combined_sets_move_once(spark):
+    rows = [(s, f, n, round(1 / (1 + i + s), 3)) for s in (0, 1) for f in ("a", "b", "hot") for i, n in enumerate("cdefghij" if f == "hot" else "cd")]
+    sets = spark.createDataFrame([*rows, (0, "alone", "c", 0.5)], "source_id int, feature string, neighbour string, sim double")
+    together = nb.combine_neighbours(sets)
+    apart = nb.combine_neighbours(sets, rows_together=5)
+    assert together.columns == apart.columns and together.dtypes == apart.dtypes
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
+    assert sorted(map(tuple, nb.combine_neighbours(sets, k=2).collect())) == sorted(map(tuple, nb.combine_neighbours(sets, k=2, rows_together=5).collect()))
+    assert {r["feature"] for r in together.collect()} == {"a", "b", "hot"}
+    plan = together._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordfold.catalog import inputs as i
@@ -234,9 +235,15 @@ sets AS (
 
 
 def two_sets(spark, d):
-    contexts = materialize(i.context_vectors(spark, d), "contexts")
-    right = thesaurus(spark, d, "r:", contexts).withColumn("source_id", F.lit(0))
-    return right.unionByName(thesaurus(spark, d, "l:", contexts).withColumn("source_id", F.lit(1)))
+    pairs = materialize(i.followers(spark, d), "followers")
+    # each pair seen from its left and from its right word
+    word = F.substring("ctx", 3, 1 << 20)
+    side = lambda n, f, x: F.struct(F.lit(n).alias("source_id"), f.alias("feature"), x.alias("neighbour"))
+    rows = pairs.select(F.inline(F.array(side(0, F.col("feature"), word), side(1, word, F.col("feature")))), "weight")
+    of = lambda n: F.sum(F.when(F.col("source_id") == n, F.col("weight"))).over(Window.partitionBy("feature"))
+    # as two calls of `thesaurus` would give them, but moved once for both sides
+    sim = F.col("weight") / F.when(F.col("source_id") == 0, of(0)).otherwise(of(1))
+    return rows.select("feature", "neighbour", sim.alias("sim"), "source_id")
 
 
 def _combined(per_source: str, k: str) -> str:
@@ -254,12 +261,12 @@ FROM merged{k}""",
 
 @query("combine_neighbours", _combined("", " QUALIFY rank < 3"))
 def combine_neighbours(spark, d):
-    return _sim(nb.combine_neighbours(materialize(two_sets(spark, d), "sets"), k=3), "contained_in", "rank")
+    return _sim(nb.combine_neighbours(two_sets(spark, d), k=3), "contained_in", "rank")
 
 
 @query("combine_neighbours_all", _combined("", ""))
 def combine_neighbours_all(spark, d):
-    return _sim(nb.combine_neighbours(materialize(two_sets(spark, d), "sets")), "contained_in", "rank")
+    return _sim(nb.combine_neighbours(two_sets(spark, d)), "contained_in", "rank")
 
 
 @query("combine_neighbours_limited", _combined(" QUALIFY r < 5", " QUALIFY rank < 3"))
