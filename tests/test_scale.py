@@ -115,3 +115,11 @@ def test_combined_sets_move_once(spark):
     assert {r["feature"] for r in together.collect()} == {"a", "b", "hot"}
     plan = together._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_a_long_line_is_not_copied_for_each_pair(spark):
+    line = "w\t" + "\t".join(f"n{i}\t{i}.5" for i in range(50)) + "\t"
+    got = ve.parse_thesaurus(spark.createDataFrame([(line,), ("x\ty",), ("only",), ("z\ta\t1\tb",)], "value string"))
+    assert {(r["feature"], r["neighbour"], r["sim"]) for r in got.collect()} == {("w", f"n{i}", i + 0.5) for i in range(50)} | {("z", "a", 1.0)}
+    generate = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x)
+    assert re.search(r"\), \[\d+\], false", generate), generate  # what is exploded is not kept beside its rows
