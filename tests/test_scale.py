@@ -136,3 +136,19 @@ def test_models_that_are_not_broadcast_whole(spark, monkeypatch):
                 monkeypatch.setattr(crossval, "BROADCAST_VALUES", values)
                 found.append(sorted(map(tuple, judge(folded, training=training).collect())))
             assert found[0] == found[1] == found[2] and len(found[0]) == (120 if training else 30)
+
+
+def test_dense_blocks_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS_PER_BLOCK", 4)
+    monkeypatch.setattr(search, "MOST_DENSE_BLOCKS", 3)
+    monkeypatch.setattr(search, "DENSE_ROWS_PER_PART", 7)
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 20)
+    points = {f"p{i}": [float((i * 37) % 11 - 5), float((i * 53) % 17 - 8), 1.0] for i in range(60)}
+    trace = []
+    vectors = spark.createDataFrame(list(points.items()), "feature string, embedding array<float>")
+    found = nb.knn_cosine(vectors, 2, candidates=1, trace=trace).collect()
+    assert {r["block"] for t in trace for r in t.select("block").distinct().collect()} <= {0, 1, 2}
+    for name, x in points.items():
+        score = {o: round(sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)), 9) for o, y in points.items() if o != name}
+        want = sorted(score, key=lambda o: (-score[o], o))[:2]
+        assert sorted(r["neighbour"] for r in found if r["feature"] == name) == sorted(want)
