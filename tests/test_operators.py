@@ -1,9 +1,10 @@
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from conftest import LETTERS_THESAURUS, PETS_THESAURUS, SCHEMA, lines, matrix, sentence
 from wordfold.functions import draws, grammar as g, text as tx
@@ -455,6 +456,34 @@ def test_other_classifiers(spark):
     assert cl.knn_classify(rows, docs, rows.where("false"), empty, 1).count() == 3
 
 
+def test_vectors_of_all_folds(spark):
+    """Made together without Python rows; features a fold does not know are left out, documents without features stay."""
+    rows = spark.createDataFrame([(0, 1, "a", 2.0), (0, 1, "c", 1.0), (1, 1, "a", 5.0), (1, 2, "b", 3.0), (0, 3, "b", 9.0)], "cv_no int, doc_id long, feature string, weight double")
+    docs = spark.createDataFrame([(0, 1, "x"), (0, 3, "y"), (1, 1, "x"), (1, 2, "y"), (1, 4, "y")], "cv_no int, doc_id long, label string")
+    indexed = spark.createDataFrame([(0, "a", 0), (0, "c", 2), (1, "a", 0), (1, "b", 1)], "cv_no int, feature string, idx long")
+    made = cl.to_vectors(rows, docs, indexed, 3, ["cv_no"])
+    got = {(r["cv_no"], r["doc_id"]): (r["label"], r["features"].size, dict(zip(r["features"].indices.tolist(), r["features"].values))) for r in made.collect()}
+    assert got == {
+        (0, 1): ("x", 3, {0: 2.0, 2: 1.0}), (0, 3): ("y", 3, {}), (1, 1): ("x", 3, {0: 5.0}), (1, 2): ("y", 3, {1: 3.0}), (1, 4): ("y", 3, {}),
+    }
+
+
+def test_folds_fitted_side_by_side(spark):
+    """Folds with other vocabularies and labels get the predictions that each gets on its own."""
+    rows, docs = toy(spark)
+    in_fold = lambda df, n, keep: df.where(keep).withColumn("cv_no", F.lit(n))
+    keeps = [F.col("doc_id") % 3 != n for n in range(3)]
+    train, train_docs = (reduce(DataFrame.unionByName, [in_fold(t, n, keep) for n, keep in enumerate(keeps)]) for t in (rows, docs))
+    test, test_docs = (reduce(DataFrame.unionByName, [in_fold(t, n, ~keep) for n, keep in enumerate(keeps)]) for t in (rows, docs))
+    vocab = vz.build_vocab(train, ["cv_no"]).where("cv_no <> 1 or feature <> 'v'")
+    found = cl.linear_svc(train, train_docs, test, test_docs, vocab, by=["cv_no"], max_iter=10)
+    assert found.columns == ["cv_no", "doc_id", "prediction"]
+    for n in range(3):
+        pick = lambda df: df.where(F.col("cv_no") == n).drop("cv_no")
+        alone = cl.linear_svc(*map(pick, (train, train_docs, test, test_docs, vocab)), max_iter=10)
+        assert sorted(map(tuple, pick(found).collect())) == sorted(map(tuple, alone.collect()))
+
+
 def test_scores(spark):
     rows = [("a", "a")] * 3 + [("a", "b")] + [("b", "b")] * 2 + [("c", "a")]
     df = spark.createDataFrame(rows, "label string, prediction string")
